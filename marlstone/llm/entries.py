@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import histsort, langid, minhash, mixing, nbest, urlrules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,13 +41,75 @@ FROM s JOIN c ON s.doc_id = c.doc_id
 """
 
 
+#: host, path, verdict
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    found = urlrules.judged(pages, urlrules.rule_table(spark, RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+_OP3 = rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{_UPPER}', '{_LOWER}') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), r(rhost, rpath, v) AS (VALUES {", ".join(str(r) for r in RULES)}),
+m AS (
+  SELECT page_id, arg_max(rhost || rpath, len(rhost) + len(rpath)) AS rule, arg_max(v, len(rhost) + len(rpath)) AS v
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1
+)
+SELECT h.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mixing.assigned(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return langid.identified(docs)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return histsort.sharded(docs, 8)
+
+
+def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4 best segmentations of every document: piece count, scores, digests of ids, round trip."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return nbest.digested(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_url_filters": op3_url_filters,
+        "op5_mixing": op5_mixing,
+        "op7_language_id": op7_language_id,
+        "op9_sharding": op9_sharding,
+        "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": _OP2,
+        "op3_url_filters": _OP3,
     }
