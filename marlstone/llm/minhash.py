@@ -144,18 +144,25 @@ def _confirm(percent: int):
 
 def _within(percent: int):
     """Links between members of one bucket that are not yet in one component: pairs in the order of
-    their estimate, each confirmed on full sets, until no pair joins two components."""
+    their estimate, each confirmed on full sets, until no pair joins two components. Members at home in
+    the block meet each other and the visitors; a visitor has met those of later blocks at its own home."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", kind="stable")
         sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
         sets = [np.frombuffer(x, U64) for x in pdf["members"]]
-        node, comp, block = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        node, comp, home = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["home"].to_numpy()
+        here, main = home == pdf["block"].to_numpy(), pdf["main"].to_numpy()
         _, local = np.unique(comp, return_inverse=True)
         union, found = Union(local.max() + 1), []
-        crossed = len(np.unique(block)) > 1
         pairs = []
-        for i in range(len(pdf)):
-            other = np.flatnonzero((local[i + 1 :] != local[i]) & ((block[i + 1 :] != block[i]) | (not crossed))) + i + 1
+        for i in np.flatnonzero(~main):
+            other = (local != local[i]) & here
+            if here[i]:
+                other[:i] &= main[:i]
+            else:
+                other &= main | (home > home[i])
+            other = np.flatnonzero(other)
             if len(other):
                 est = (sig[other] == sig[i]).mean(axis=1)
                 near = est >= percent / 100 - SLACK
@@ -236,23 +243,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     )
     torn = torn.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     torn = torn.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # The members of a bucket's largest component need not meet each other: each stays in its block, and
+    # only the others visit every block.
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"))
     mixed = (
-        placed.join(torn, "key")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "key",
-            "node",
-            "component",
+        placed.join(torn.join(main, "key"), "key")
+        .withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("main", F.col("component") == F.col("most"))
+        .withColumn(
             "block",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
+            F.explode(F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))),
         )
+        .select("key", "node", "component", "home", "main", "block")
     )
     more = (
         mixed.join(heads.select("node", "sig"), "node")
         .join(full, "node")
-        .groupBy("key", "i", "j")
+        .groupBy("key", "block")
         .applyInPandas(_within(percent), "u long, v long")
     )
     more = written(more, "more")
