@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import histsort, langid, minhash, mixing, nbest, urlrules
+from . import histsort, langid, minhash, mixing, nbest, surrogate, urlrules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its PII replaced by surrogates, and how many of each type there were."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return surrogate.counted(docs)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-duplicate components of all documents: 3-word shingles, similarity 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -99,6 +105,7 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_url_filters": op3_url_filters,
         "op5_mixing": op5_mixing,
