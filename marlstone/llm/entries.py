@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import histsort, langid, minhash, mixing, nbest, surrogate, urlrules
+from . import covertree, histsort, langid, minhash, mixing, nbest, surrogate, urlrules, vamana
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +80,29 @@ SELECT h.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT
 """
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all vectors whose cosine is 0.95 or more."""
+    return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
+
+
+_OP4 = """
+WITH RECURSIVE l AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), v AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM l
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, k.v FROM reach r JOIN links k ON r.b = k.u
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT c.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
@@ -91,6 +115,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product to every vector whose id is divisible by 20."""
+    return vamana.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -108,8 +137,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_surrogates": op1_pii_surrogates,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_url_filters": op3_url_filters,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_mixing": op5_mixing,
         "op7_language_id": op7_language_id,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_sharding": op9_sharding,
         "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
     }
@@ -119,4 +150,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": _OP2,
         "op3_url_filters": _OP3,
+        "op4_embedding_near_dedup": _OP4,
     }
