@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, histsort, langid, minhash, mixing, nbest, surrogate, urlrules, vamana
+from . import covertree, histsort, langid, minhash, mixing, nbest, surrogate, urlrules, vamana, warczip
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,6 +109,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assigned(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written into ZIP packages and read back by ranges."""
+    packages = warczip.packed(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warczip.records(packages, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -139,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": op3_url_filters,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_mixing": op5_mixing,
+        "op6_warc_zip": op6_warc_zip,
         "op7_language_id": op7_language_id,
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_sharding": op9_sharding,
