@@ -145,7 +145,7 @@ def fitted(docs: DataFrame, model: str = MODEL, sample: int = SAMPLE) -> tuple[l
     return langs, loaded, prob
 
 
-def _scored(langs: list[str], loaded: tuple, prob: np.ndarray):
+def _scored(langs: list[str], loaded: tuple, prob: np.ndarray, keep: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(loaded)
         size = np.diff(voc.spelled_at)
@@ -174,9 +174,10 @@ def _scored(langs: list[str], loaded: tuple, prob: np.ndarray):
                 ok = letters[lo:hi]
                 preds += [langs[i] if o else "und" for i, o in zip(pick.tolist(), ok, strict=True)]
                 scores.append(np.where(ok, p.max(axis=1), 0.0))
+            names = [c for c in batch.schema.names if keep or c != "text"]
+            scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in range(batch.num_columns) if batch.schema.names[c] != "text"] + [pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))],
-                names=[c for c in batch.schema.names if c != "text"] + ["lang_pred", "score"],
+                [batch.column(c) for c in names] + [pa.array(preds, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"]
             )
 
     return run
@@ -199,7 +200,15 @@ def identified(docs: DataFrame, model: str = MODEL, sample: int = SAMPLE) -> Dat
     )
 
 
-def screened(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a posterior of ``least`` or more; the columns stay."""
-    found = identified(docs, **options).where(F.col("lang_pred") != "und").where(F.col("score") >= least)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def screened(docs: DataFrame, least: float = 0.5, model: str = MODEL, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` whose language is found with a posterior of ``least``
+    or more. The columns stay; rows pass through the model once and are not joined back."""
+    langs, loaded, prob = fitted(docs.select("doc_id", "text", "lang").where(~held_out()).where("doc_id is not null"), model, sample)
+    if not langs:
+        return docs
+    small_batches(docs.sparkSession)
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names)
+    schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", lang_pred string, score double"
+    found = plain.mapInArrow(_scored(langs, loaded, prob, keep=True), schema)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names).toDF(*docs.columns)

@@ -275,3 +275,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest doc_id."""
+    gone = near_duplicates(docs, words=words, percent=percent).where("not kept").select("doc_id").distinct()
+    gone = written(gone.withColumnRenamed("doc_id", "_gone"), "gone")
+    return docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
