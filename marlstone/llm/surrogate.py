@@ -335,7 +335,8 @@ def counted(docs: DataFrame, key: str = KEY) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: doc_id, the text with surrogates, n_entities, and how many
     of each type."""
     out = anonymised(docs.select("doc_id", "text"), key)
-    n = [F.size(F.filter("entities", lambda e, t=t: e["type"] == t)).alias(f"n_{t}") for t in TYPES]
+    types = F.transform("entities", lambda e: e["type"])
+    n = [(F.size(types) - F.size(F.array_remove(types, t))).alias(f"n_{t}") for t in TYPES]
     return out.select("doc_id", "text", F.size("entities").alias("n_entities"), *n)
 
 
