@@ -106,9 +106,10 @@ class Lattice:
 
     def __init__(self, voc: Vocabulary, data: np.ndarray, offsets: np.ndarray):
         n, self.units = len(data), len(offsets) - 1
-        unit = np.repeat(np.arange(self.units), np.diff(offsets))
+        offsets = offsets.astype(np.int32)  # a batch is far below 2**31 bytes
+        unit = np.repeat(np.arange(self.units, dtype=np.int32), np.diff(offsets))
         stop = np.repeat(offsets[1:], np.diff(offsets))
-        at, state = np.arange(n), np.zeros(n, np.int32)
+        at, state = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
         froms, lens, ids = [], [], []
         covered = np.zeros(n, bool)
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
@@ -121,7 +122,7 @@ class Lattice:
             end = voc.ends[state]
             hit = end >= 0
             froms.append(at[hit])
-            lens.append(np.full(hit.sum(), k))
+            lens.append(np.full(hit.sum(), k, np.int32))
             ids.append(end[hit])
             covered[at[hit]] |= width[at[hit]] == k
             ok = state < voc.inner
@@ -131,23 +132,23 @@ class Lattice:
         bare = np.flatnonzero(((data & 0xC0) != 0x80) & ~covered)
         if len(bare):
             w = np.minimum(width[bare], stop[bare] - bare)
-            at, _ = gather(np.arange(n), bare, w)
+            at, _ = gather(np.arange(n, dtype=np.int32), bare, w)
             froms.append(at)
-            lens.append(np.ones(len(at), np.int64))
+            lens.append(np.ones(len(at), np.int32))
             ids.append(voc.byte_ids[data[at]])
         f, k, self.id = np.concatenate(froms), np.concatenate(lens), np.concatenate(ids)
         u = unit[f]
         self.unit, self.src, self.dst, self.len = u, f + u, f + u + k, k
         self.offset = f - offsets[u]
-        self.first = offsets[:-1] + np.arange(self.units)
-        self.last = offsets[1:] + np.arange(self.units)
+        self.first = offsets[:-1] + np.arange(self.units, dtype=np.int32)
+        self.last = offsets[1:] + np.arange(self.units, dtype=np.int32)
         self.places = n + self.units
-        order = np.argsort(self.offset.astype(np.int32), kind="stable")
+        order = np.argsort(self.offset, kind="stable")
         for name in ("unit", "src", "dst", "len", "id", "offset"):
             setattr(self, name, getattr(self, name)[order])
         self.starts = np.searchsorted(self.offset, np.arange(int(self.offset.max(initial=-1)) + 2))
         ends = self.offset + self.len
-        self.by_end = np.argsort(ends.astype(np.int32), kind="stable")
+        self.by_end = np.argsort(ends, kind="stable")
         self.stops = np.searchsorted(ends[self.by_end], np.arange(1, int(ends.max(initial=0)) + 2))
 
     def forward_slices(self):
