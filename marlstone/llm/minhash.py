@@ -143,7 +143,7 @@ def _confirm(percent: int):
 
 
 def _within(percent: int):
-    """Links between members of one bucket that are not yet in one component: pairs in the order of
+    """Links between rows of one block that are not yet in one component: pairs in the order of
     their estimate, each confirmed on full sets, until no pair joins two components. Members at home in
     the block meet each other and the visitors; a visitor has met those of later blocks at its own home."""
 
@@ -233,34 +233,39 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .join(label.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
         .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
-    # Buckets of several components, each set of members once.
-    torn = placed.groupBy("key").agg(
+    # In a bucket of several components, members of the largest one need not meet each other. All others
+    # visit that component: each pair of document and component once, whatever the number of buckets that
+    # they share, and the component's members stay in one block each.
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("c"))
+    torn = written(placed.join(main.where("c > 1").select("key", "most"), "key"), "torn")
+    at_home = torn.where("component = most").select("most", "node", "component").distinct()
+    sizes = at_home.groupBy("most").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    at_home = at_home.join(sizes, "most").withColumn("home", home).withColumn("block", F.col("home"))
+    visits = torn.where("component <> most").select("most", "node", "component").distinct()
+    visits = visits.join(sizes, "most").withColumn("home", F.lit(-1)).withColumn("block", every)
+    columns = ["key", "node", "component", "home", "main", "block"]
+    first = at_home.withColumn("main", F.lit(True)).unionByName(visits.withColumn("main", F.lit(False)))
+    first = first.withColumnRenamed("most", "key").select(F.lit(1).alias("part"), *columns)
+    # Those others meet among themselves, each set of members once.
+    others = torn.where("component <> most")
+    sets = others.groupBy("key").agg(
         F.min("component").alias("a"),
         F.max("component").alias("b"),
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64(F.col("node"), F.lit(7))).alias("y"),
     )
-    torn = torn.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    torn = torn.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # The members of a bucket's largest component need not meet each other: each stays in its block, and
-    # only the others visit every block.
-    main = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"))
-    mixed = (
-        placed.join(torn.join(main, "key"), "key")
-        .withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("main", F.col("component") == F.col("most"))
-        .withColumn(
-            "block",
-            F.explode(F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))),
-        )
-        .select("key", "node", "component", "home", "main", "block")
-    )
+    sets = sets.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    sets = sets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    second = others.join(sets, "key").withColumn("home", home).withColumn("main", F.lit(False)).withColumn("block", every)
+    mixed = first.unionByName(second.select(F.lit(2).alias("part"), *columns))
     more = (
         mixed.join(heads.select("node", "sig"), "node")
         .join(full, "node")
-        .groupBy("key", "block")
+        .groupBy("part", "key", "block")
         .applyInPandas(_within(percent), "u long, v long")
     )
     more = written(more, "more")
