@@ -14,20 +14,20 @@ from ..errors import InvalidValueError
 from ..functions import text
 
 
-def ngrams(sample: str, longest: int) -> Counter:
+def ngrams(sample: str, longest: int, pattern: str = text.WORD) -> Counter:
     """Counts of all n-grams of up to ``longest`` characters of the words, each between bars."""
     out: Counter = Counter()
-    for word in text.words_of(sample):
-        w = f"|{word.lower()}|"
+    for word in text.words_of(sample, pattern):
+        w = f"|{word}|"
         for i in range(len(w)):
             for n in range(1, min(longest, len(w) - i) + 1):
                 out[w[i : i + n]] += 1
     return out
 
 
-def profile(sample: str, longest: int = 5, most: int = 400) -> list[str]:
+def profile(sample: str, longest: int = 5, most: int = 400, pattern: str = text.WORD) -> list[str]:
     """The most frequent n-grams, ties by bytes."""
-    counts = ngrams(sample, longest)
+    counts = ngrams(sample, longest, pattern)
     return sorted(counts, key=lambda g: (-counts[g], g.encode()))[:most]
 
 
@@ -48,19 +48,20 @@ class Categoriser:
     max_ngram_length: int = 5
     max_ngrams: int = 400
     max_candidates: int = 3
+    pattern: str = text.WORD  # how texts are cut into words; not part of the configuration
 
     def __post_init__(self):
         if not 1 <= self.max_ngram_length <= 100 or not 1 <= self.max_ngrams <= 65536:
             raise InvalidValueError("n-gram limits are 100 characters and 65536 n-grams")
 
     def add(self, label: str, sample: str) -> None:
-        self.profiles[label] = profile(sample, self.max_ngram_length, self.max_ngrams)
+        self.profiles[label] = profile(sample, self.max_ngram_length, self.max_ngrams, self.pattern)
 
     def categorise(self, sample: str) -> list[str]:
         """Labels near the best distance; none if too many are."""
-        own = profile(sample, self.max_ngram_length, self.max_ngrams)
+        own = profile(sample, self.max_ngram_length, self.max_ngrams, self.pattern)
         found = sorted((distance(own, p, self.max_ngrams, self.max_ngrams), label) for label, p in self.profiles.items())
-        near = [label for d, label in found if d <= found[0][0] * self.accuracy_threshold]
+        near = [label for d, label in found if d <= found[0][0] * self.accuracy_threshold] if found else []
         return near if len(near) <= self.max_candidates else []
 
     def column(self, column: Column) -> Column:
@@ -119,7 +120,7 @@ def distances(samples: DataFrame, targets: DataFrame, most: int = 400) -> DataFr
 def trained(docs: DataFrame, label: str, column: str, **options) -> Categoriser:
     """A categoriser of the labels' texts; the driver gets labels x max_ngrams rows."""
     model = Categoriser(**options)
-    rows = profiles(docs, label, column, model.max_ngram_length, model.max_ngrams).orderBy("label", "rank").collect()
+    rows = profiles(docs, label, column, model.max_ngram_length, model.max_ngrams, model.pattern).orderBy("label", "rank").collect()
     for r in rows:
         model.profiles.setdefault(r["label"], []).append(r["ngram"])
     return model

@@ -22,7 +22,8 @@ from ..functions import geo, text
 from ..plans.schema import Field
 from .taxonomy import Taxonomy
 
-NEVER, ALWAYS = F.lit(False), F.lit(True)
+def never() -> Column:
+    return F.lit(False)
 
 
 @dataclass
@@ -133,7 +134,7 @@ def _is(t: Type, name: str, c: Field, values: list) -> Column:
     column, many = t.column(name, c), t.many(name, c)
     wanted = sorted({normal(c, v) for v in values})
     if not wanted:
-        return NEVER
+        return never()
     if t.terms is not None and c.type != "id":
         lists = [F.lit(v) for v in wanted]
         return F.exists(t.terms(c), lambda x: x["term"].isin(*lists))
@@ -170,7 +171,10 @@ def _range(t: Type, name: str, c: Field, value) -> Column:
             raise InvalidValueError(f"not a number: {x!r}")
         if c.type == "timestamp" and (not isinstance(x, int) or x < 0):
             raise InvalidValueError("ends of a timestamp range are whole seconds")
-    if kind.startswith("timestamp"):
+    if kind == "timestamp_ntz":  # wall time is read as UTC
+        ends = [datetime.datetime.fromtimestamp(x, datetime.UTC).replace(tzinfo=None).isoformat(sep=" ") for x in (lo, hi)]
+        return column.between(*[F.lit(x).cast("timestamp_ntz") for x in ends])
+    if kind == "timestamp":
         return column.between(F.timestamp_seconds(F.lit(lo)), F.timestamp_seconds(F.lit(hi)))
     return _any(column, many, lambda x: x.between(float(lo), float(hi)))
 
@@ -244,7 +248,7 @@ def _text(t: Type, name: str, c: Field, value) -> Column:
     cjk = c.processor == "cjk"
     units = cjk_units(query) if cjk else text.words_of(query, t.pattern, lower=False)
     if not units:
-        return NEVER
+        return never()
     if op in ("and", "or"):
         tests = [_word(t, name, c, w) for w in dict.fromkeys(units)]
         return reduce(and_ if op == "and" else or_, tests)
@@ -290,7 +294,7 @@ def _parse(t: Type, name: str, c: Field, value) -> Column:
         return left
 
     def known(x: Column) -> Column:
-        return F.coalesce(x, NEVER)
+        return F.coalesce(x, never())
 
     def either() -> Column | None:
         return level("OR", lambda: level("XOR", both, lambda a, b: known(a) != known(b)), or_)
@@ -318,7 +322,7 @@ def _parse(t: Type, name: str, c: Field, value) -> Column:
     found = either()
     if peek() is not None:
         raise InvalidValueError("a bracket is not opened")
-    return NEVER if found is None else found
+    return never() if found is None else found
 
 
 _META = {"exists": "F", "nonempty": "N", "empty": "M", "error": "E"}
@@ -328,9 +332,9 @@ def _meta(t: Type, kind: str, names) -> Column:
     if kind not in _META:
         raise InvalidValueError(f"unknown meta query: {kind!r}")
     if t.meta is None:
-        return NEVER
+        return never()
     wanted = [None] if names is None else listed(names)
-    return reduce(or_, [t.meta(_META[kind], n) for n in wanted]) if wanted else NEVER
+    return reduce(or_, [t.meta(_META[kind], n) for n in wanted]) if wanted else never()
 
 
 def _leaf(t: Type, name: str, c: Field, kind: str, value, taxonomies: dict[str, Taxonomy]) -> Node:
@@ -365,7 +369,7 @@ def _sum(nodes: list[Node], only_matching: bool) -> Column | None:
 
 def _either(nodes: list[Node]) -> Node:
     if not nodes:
-        return Node(NEVER)
+        return Node(never())
     return nodes[0] if len(nodes) == 1 else Node(reduce(or_, [n.match for n in nodes]), _sum(nodes, True))
 
 
@@ -374,7 +378,7 @@ def compiled(query: dict | None, types: list[Type], taxonomies: dict[str, Taxono
     taxonomies = taxonomies or {}
     sub = lambda q: compiled(q, types, taxonomies)
     if not query:
-        return Node(NEVER)
+        return Node(never())
     if not isinstance(query, dict) or not (len(query) == 1 or (set(query) == {"query", "filter"})):
         raise InvalidValueError("a query node has exactly one member")
     if len(query) == 2:  # sugar: the query beside its filter
@@ -383,11 +387,11 @@ def compiled(query: dict | None, types: list[Type], taxonomies: dict[str, Taxono
     if kind == "matchall":
         if body is not True:
             raise InvalidValueError("matchall is true")
-        return Node(ALWAYS)
+        return Node(F.lit(True))
     if kind == "matchnothing":
         if body is not True:
             raise InvalidValueError("matchnothing is true")
-        return Node(NEVER)
+        return Node(never())
     if kind == "field":
         if not isinstance(body, list) or len(body) != 3:
             raise InvalidValueError("a field query has a name, a type and a value")
@@ -410,17 +414,17 @@ def compiled(query: dict | None, types: list[Type], taxonomies: dict[str, Taxono
         raise InvalidValueError(f"{kind} takes a list of at least two queries")
     nodes = [sub(q) for q in body]
     if not nodes:
-        return Node(NEVER)
+        return Node(never())
     first, rest = nodes[0], nodes[1:]
     if kind == "and":
         return Node(reduce(and_, [n.match for n in nodes]), _sum(nodes, False))
     if kind == "or":
         return _either(nodes)
     if kind == "xor":
-        odd = reduce(lambda a, b: a + b, [F.coalesce(n.match, NEVER).cast("int") for n in nodes])
+        odd = reduce(lambda a, b: a + b, [F.coalesce(n.match, never()).cast("int") for n in nodes])
         return Node(F.pmod(odd, F.lit(2)) == 1, _sum(nodes, True))
     if kind == "and_not":
-        return Node(first.match & ~F.coalesce(reduce(or_, [n.match for n in rest]), NEVER), first.weight)
+        return Node(first.match & ~F.coalesce(reduce(or_, [n.match for n in rest]), never()), first.weight)
     if kind == "filter":
         return Node(reduce(and_, [n.match for n in nodes]), first.weight)
     more = _sum(rest, True)

@@ -158,6 +158,11 @@ class Search:
 
     # ---- counts and statistics
 
+    def counts(self) -> DataFrame:
+        """``(total_docs, matches)`` in one scan."""
+        hits = F.count_if(F.coalesce(self.node.match, F.lit(False)))
+        return self.scope.agg(F.count("*").alias("total_docs"), hits.alias("matches"))
+
     def total_docs(self) -> int:
         return self.scope.count()
 
@@ -263,7 +268,7 @@ class Search:
 
     def to_dict(self) -> dict:
         """The response: exact counts, the items, and the statistics asked for."""
-        total, found = self.total_docs(), self.count()
+        total, found = self.counts().first()
         if self.size < 0:
             self.size = max(total, 0)
         out = {

@@ -22,7 +22,6 @@ MEMBERS: dict[str, dict] = {
     "ignore": {},
     "meta": {"group": None, "slot": ""},
 }
-_NAME = re.compile(r'[^\x00-\x1f:/\\.,\[\]{}"]+')
 
 
 def valid_name(name: str) -> str:

@@ -231,10 +231,10 @@ def indexed(docs: DataFrame, doc_type: str, schema: Schema, names: list[str], sp
 
 def field_names(docs: DataFrame) -> dict[str, list[str]]:
     """The top-level keys of ``resolved`` documents, by type: one distinct pass."""
-    keys = docs.where("_problem is null").select("doc_type", F.explode(F.json_object_keys("body")).alias("k")).distinct().collect()
+    keys = docs.where("_problem is null").select("doc_type", F.explode_outer(F.json_object_keys("body")).alias("k")).distinct().collect()
     out: dict[str, list[str]] = {}
     for r in keys:
-        out.setdefault(r["doc_type"], []).append(r["k"])
+        out.setdefault(r["doc_type"], []).extend([] if r["k"] is None else [r["k"]])
     return {t: sorted(k) for t, k in out.items()}
 
 

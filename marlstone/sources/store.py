@@ -7,6 +7,8 @@ or nothing of it. Rows are partitioned by document type. Files go through Hadoop
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,16 @@ from pyspark.sql import functions as F
 FRAGMENT = 100_000_000
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder that the session names; only where it names none (tests,
+    one machine), in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/marlstone/{label}-{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
