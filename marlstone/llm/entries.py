@@ -115,6 +115,20 @@ def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.records(packages, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+_OP6 = """
+WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, i * 5 + 1, 5) AS BIGINT)) AS parts FROM d),
+b AS (
+  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY hex) AS low, list_aggregate(list_transform(parts,
+    lambda x: list_aggregate(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> k) & 31) + 1, 1)), 'string_agg', '')),
+    'string_agg', '') AS payload_digest
+  FROM v
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> low THEN low END AS refers_to FROM b
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -158,4 +172,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_near_dedup": _OP2,
         "op3_url_filters": _OP3,
         "op4_embedding_near_dedup": _OP4,
+        "op6_warc_zip": _OP6,
     }

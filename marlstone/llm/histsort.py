@@ -7,8 +7,8 @@ each cell between the boundaries still in question (a pre-aggregated ``groupBy``
 the driver) and narrows each to a cell, until all are within tolerance. Rows then move once, into the groups
 in which they get their slots.
 
-Defined results: a null text has 0 bytes, CRC 0 and size 1; equal rows are interchangeable; a null doc_id is
-a value like any other; an empty table gives no rows.
+Defined results: a null text has 0 bytes, CRC 0 and size 1; rows that share doc_id and text stay in one shard
+and are interchangeable there; a null doc_id is a value like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations

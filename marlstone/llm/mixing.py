@@ -133,10 +133,7 @@ def assigned(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows not taken go."""
-    copies = assigned(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    right = copies.withColumnRenamed("doc_id", "_doc_id")
-    return (
-        docs.join(right, docs.doc_id.cast("long").eqNullSafe(right["_doc_id"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    copies = assigned(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    once = docs.join(copies, docs.doc_id.cast("long").eqNullSafe(copies["doc_id"]))
+    repeated = F.explode(F.sequence(F.lit(1), copies["copies"]))
+    return once.select(*[docs[c] for c in docs.columns], repeated.alias(" copy")).drop(" copy")

@@ -322,7 +322,8 @@ def _replace(key: str, digests: bool):
 
 
 def anonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs(text, ...)`` with surrogates in text, and an array of their types and places: entities."""
+    """``docs(text, ...)`` with surrogates in text, and an array of their types and places, entities, which
+    replaces a column of that name."""
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("text", "entities")]
     renamed = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias("text"))
@@ -349,8 +350,10 @@ def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def cleaned(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in text; n_chars, where there is one, follows the new text."""
-    out = anonymised(docs, key)
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    out = anonymised(docs.toDF(*names), key)
     if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+        out = out.withColumn(n, F.when(F.col("text").isNull(), F.col(n)).otherwise(F.length("text")).cast(kind))
+    return out.select(*names).toDF(*docs.columns)

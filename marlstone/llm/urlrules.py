@@ -28,20 +28,20 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``pages`` with host and path of its url."""
+    """``pages`` with host and path of its url; columns of these names are replaced."""
     rest = F.expr("CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END")
-    pages = pages.withColumn("_rest", rest)
-    host = F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), UPPER, LOWER)
-    path = F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1)
-    return pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))}).drop("_rest")
+    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
+    path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
+    return pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """``pages(url)`` with host, path, rule and verdict. Rules are keyed by (host, path)."""
+    """``pages(url)`` with host, path, rule and verdict, which replace columns of these names. Rules are
+    keyed by (host, path)."""
     shape = rules.select(
         F.collect_set(F.size(F.split("host", "[.]"))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")
     ).first()
-    pages = parsed(pages)
+    pages = parsed(pages.drop("rule", "verdict"))
     urls = pages.select("host", "path").where("host <> ''").distinct()
     labels = urls.withColumn("_labels", F.split("host", "[.]")).withColumn(
         "h",
