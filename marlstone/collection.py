@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from .operators.taxonomy import Taxonomy
 from .plans.schema import FORMAT, Field, Schema, default_schema, valid_name
 from .sources import ingest
 from .sources.store import Store, latest, upserted
+from .streaming.checkpoints import Checkpoints, ErrorLog
 
 
 def typed(
@@ -74,7 +74,8 @@ class Collection:
             self.load_config(saved)
         self._pending: list[DataFrame] = []
         self._seq = self.store.state()["seq"] + 1
-        self.errors: list[dict] = []
+        self.errors = ErrorLog()
+        self.checkpoints = Checkpoints()
 
     def _reset(self) -> None:
         self.default_type = default_schema().to_json()
@@ -174,9 +175,18 @@ class Collection:
         self._pending.append(docs.withColumn("seq", F.lit(self._seq)).withColumn("op", F.lit("put")))
         self._seq += 1
 
-    def put(self, doc: dict | str, doc_type: str | None = None, doc_id: str | None = None) -> None:
+    def put(self, doc: dict | str, doc_type: str | None = None, doc_id: str | None = None, raise_on_error: bool = False) -> None:
+        """Adds one document; with ``raise_on_error``, one whose type, id or fields are in error is refused
+        at once instead of being told at the next checkpoint."""
         body = doc if isinstance(doc, str) else json.dumps(doc)
-        self.put_all(self.spark.createDataFrame([(body, doc_type, doc_id)], "body string, doc_type string, doc_id string"))
+        docs = self.spark.createDataFrame([(body, doc_type, doc_id)], "body string, doc_type string, doc_id string")
+        if raise_on_error:
+            s = self.special
+            for r in ingest.problems(ingest.resolved(docs, "default", s["id_field"], s["type_field"])).collect():
+                raise InvalidValueError(r["message"])
+            for r in self.process(docs).select(F.explode("errors").alias("e")).select("e.*").collect():
+                raise InvalidValueError(f"{r['field']}: {r['message']}")
+        self.put_all(docs)
 
     def delete(self, doc_type: str, doc_id: str) -> None:
         row = self.spark.createDataFrame([("{}", doc_type, str(doc_id))], "body string, doc_type string, doc_id string")
@@ -196,10 +206,10 @@ class Collection:
             return
         s = self.special
         found = ingest.resolved(commands.select("seq", "op", "doc_type", "doc_id", "body"), "default", s["id_field"], s["type_field"]).cache()
-        for r in ingest.problems(found.where("op = 'put'")).limit(100).collect():
-            self.errors.append({"doc_type": r["doc_type"], "doc_id": r["doc_id"], "message": r["message"]})
+        self._log(ingest.problems(found.where("op = 'put'")))
         last = latest(found.where("_problem is null").select("seq", "op", "doc_type", "doc_id", "body"))
         rows = self.process(last.where("op = 'put'"))
+        self._log(rows.select("doc_type", "doc_id", F.explode("errors").alias("e")).select("doc_type", "doc_id", F.concat_ws(": ", "e.field", "e.message").alias("message")))
         old = self.store.table()
         gone = last.where("op = 'delete'").select("doc_type", "doc_id")
         keep = old
@@ -208,8 +218,17 @@ class Collection:
         top = found.agg(F.max("seq")).first()[0]
         self.store.commit(upserted(keep, rows, gone), batch, -1 if top is None else int(top))
         self.store.save_config(self.config())
+        self.errors = self.checkpoints.reach(self.store.state()["seq"], self.errors)
         found.unpersist()
 
+    def _log(self, problems: DataFrame) -> None:
+        """Counts all problems; the first of them come to the driver."""
+        listed = problems.limit(self.errors.most).collect()
+        for r in listed:
+            self.errors.append(r["message"], r["doc_type"], r["doc_id"])
+        if len(listed) == self.errors.most:
+            self.errors.total += problems.count() - len(listed)
+
     def commit(self) -> None:
         if self._pending:
             commands = ingest.union(self._pending)
@@ -256,12 +275,20 @@ class Collection:
     def info(self) -> dict:
         return {"doc_count": self.source().table.count()}
 
-    def checkpoint(self, commit: bool = True) -> dict:
-        """Commits what is pending; tells whether it was reached, and the first 100 errors."""
+    def checkpoint(self, commit: bool = True) -> str:
+        """The id of a new checkpoint behind all that has been put so far, which is committed unless told
+        otherwise."""
+        name = self.checkpoints.publish(self._seq - 1)
         if commit:
             self.commit()
-        errors, self.errors = self.errors, []
-        return {"id": uuid.uuid4().hex, "reached": not self._pending, "total_errors": len(errors), "errors": errors[:100]}
+        self.errors = self.checkpoints.reach(self.store.state()["seq"], self.errors)
+        return name
+
+    def get_fields(self, doc_type: str, doc_id, display: list[str] | None = None) -> dict | None:
+        """A document's stored fields: those asked for, or all that the type's schema stores."""
+        names = self.schema(doc_type).stored_names() if display is None else display
+        found = self.get(doc_type, doc_id)
+        return None if found is None else {n: found["data"][n] for n in names if n in found.get("data", {})}
 
     def drop(self) -> None:
         """Deletes documents and configuration."""

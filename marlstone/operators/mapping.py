@@ -103,6 +103,11 @@ def condition_column(clause: dict, variant: Column) -> Column:
     raise InvalidValueError(f"unknown condition: {kind!r}")
 
 
+def _place(path: list) -> list[tuple]:
+    """Sorts paths as a walk through a document meets them."""
+    return [(0, p, b"") if isinstance(p, int) else (1, 0, p.encode()) for p in path]
+
+
 @dataclass
 class Mapping:
     """Picks fields of a document into a new one."""
@@ -128,32 +133,39 @@ class Mapping:
         return out | ({"when": self.when} if self.when is not None else {})
 
     def apply(self, doc, categorisers: dict[str, Categoriser] | None = None) -> dict | None:
-        """The new document, all values in lists; None if the condition doesn't hold."""
+        """The new document, all values in lists; None if the condition doesn't hold. Values come in the
+        order in which they stand in the document, with names in the order of their bytes."""
+        if not isinstance(doc, dict):
+            raise InvalidValueError("a mapping takes an object")
         if self.when is not None and not evaluate(self.when, doc):
             return None
         out: dict[str, list] = {}
-        handled = set()
-        for r in self.rules:
-            value = at(doc, r["from"])
-            if value is _ABSENT:
-                continue
-            if r["from"] and not r.get("categoriser"):
-                handled.add(r["from"][0])
-            if r.get("categoriser"):
-                if r["categoriser"] not in (categorisers or {}):
-                    raise UnknownNameError(r["categoriser"])
-                sample = value if isinstance(value, str) else "".join(f"{v} " for v in value if isinstance(v, str)) if isinstance(value, list) else ""
-                value = categorisers[r["categoriser"]].categorise(sample)
-            if isinstance(value, list) and not value:
-                out[r["to"]] = []
-            else:
-                out.setdefault(r["to"], []).extend(value if isinstance(value, list) else [value])
-        if self.default == "preserve_top" and isinstance(doc, dict):
-            for k, v in doc.items():
-                if k not in handled:
-                    out.setdefault(k, []).extend(v if isinstance(v, list) else [v])
+
+        def put(name: str, value) -> None:
+            if value == [] or name not in out:
+                out[name] = []
+            out[name] += value if isinstance(value, list) else [value]
+
+        by_top: dict[str, list[dict]] = {}
+        for r in sorted(self.rules, key=lambda r: _place(r["from"])):
+            if r["from"]:
+                by_top.setdefault(r["from"][0], []).append(r)
+        for top in sorted(doc, key=str.encode):
+            found = [(r, v) for r in by_top.get(top, []) if (v := at(doc, r["from"])) is not _ABSENT]
+            for r, value in found:
+                put(r["to"], self._category(r["categoriser"], value, categorisers or {}) if r.get("categoriser") else value)
+            if not found and self.default == "preserve_top":
+                put(top, doc[top])
         return out
 
+    @staticmethod
+    def _category(name: str, value, categorisers: dict[str, Categoriser]):
+        """Labels of a text or of an array's texts; an empty text where there is none."""
+        if name not in categorisers:
+            raise UnknownNameError(name)
+        sample = value if isinstance(value, str) else "".join(f"{v} " for v in value if isinstance(v, str)) if isinstance(value, list) else ""
+        return categorisers[name].categorise(sample) if sample else ""
+
 
 @dataclass
 class Pipe:
@@ -181,12 +193,23 @@ class Pipe:
         return out
 
     def column(self, body: Column, categorisers: dict[str, Categoriser] | None = None) -> Column:
+        """What a pipe makes of a column of documents. A body that is no JSON object passes unchanged, for
+        the index to report."""
         pipe = self
 
+        def one(b: str | None) -> list[str] | None:
+            try:
+                doc = None if b is None else json.loads(b)
+            except ValueError:
+                doc = None
+            if not isinstance(doc, dict):
+                return None if b is None else [b]
+            return [json.dumps(d, ensure_ascii=False, sort_keys=True) for d in pipe.apply(doc, categorisers)]
+
         @F.pandas_udf("array<string>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
-                yield part.map(lambda b: None if b is None else [json.dumps(d, ensure_ascii=False) for d in pipe.apply(json.loads(b), categorisers)])
+                yield part.map(one)
 
         return run(body)
 

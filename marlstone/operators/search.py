@@ -117,8 +117,9 @@ class Search:
         counted without sorting."""
         if self.request.get("from", 0) != 0:
             raise InvalidValueError("from must be 0 beside fromdoc")
-        page = _whole(spec, "pagesize", PAGE, 1)
-        del page  # rows are counted, not paged through
+        if not isinstance(spec, dict) or any(spec.get(k) in (None, "") for k in ("type", "id")):
+            raise InvalidValueError("fromdoc needs a type and an id")
+        _whole(spec, "pagesize", PAGE, 1)  # checked only: rows are counted, not paged through
         keys = self.source.keys
         mine = self.matches
         if self.source.type_column:
@@ -269,10 +270,11 @@ class Search:
     def to_dict(self) -> dict:
         """The response: exact counts, the items, and the statistics asked for."""
         total, found = self.counts().first()
-        if self.size < 0:
-            self.size = max(total, 0)
+        size = self.size if self.size >= 0 else total
+        limits = [spec["doc_limit"] for e in self.request.get("info", []) for spec in e.values() if spec.get("doc_limit") is not None]
+        check = max([total if self.check < 0 else self.check, *limits])
         out = {
-            "from": self.start, "size_requested": self.size, "check_at_least": self.check, "total_docs": total,
+            "from": self.start, "size_requested": size, "check_at_least": check, "total_docs": total,
             "matches_lower_bound": found, "matches_estimated": found, "matches_upper_bound": found, "items": [_item(r.asDict(recursive=True)) for r in self.items().collect()],
         }
         if "info" in self.request:

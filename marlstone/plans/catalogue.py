@@ -512,7 +512,7 @@ def _bodies(spark, sf_dir) -> DataFrame:
 _K = "regexp_extract(props, '[0-9]+')"
 
 
-@_query(f"""SELECT '{{"key": [' || {_K} || '], "id": [' || event_id || '], "kind": ["' || event_type || '"]}}' AS body FROM events""")
+@_query(f"""SELECT '{{"id": [' || event_id || '], "key": [' || {_K} || '], "kind": ["' || event_type || '"]}}' AS body FROM events""")
 def map_preserve(spark, sf_dir):
     pipe = Pipe.of({"mappings": [{"map": [{"from": ["props", "k"], "to": "key"}]}]})
     return send(_bodies(spark, sf_dir).select("body"), "p", {"p": pipe})
@@ -524,7 +524,7 @@ def map_discard(spark, sf_dir):
     return send(_bodies(spark, sf_dir).select("body"), "p", {"p": pipe})
 
 
-@_query("""SELECT '{"turn": [' || turn || '], "conv": [' || conv_id || ']}' AS body FROM conversations""")
+@_query("""SELECT '{"conv": [' || conv_id || '], "turn": [' || turn || ']}' AS body FROM conversations""")
 def map_index_path(spark, sf_dir):
     body = F.format_string('{"at": [%d, %d], "conv": %d}', "conv_id", "turn", "conv_id").alias("body")
     pipe = Pipe.of({"mappings": [{"map": [{"from": ["at", 1], "to": "turn"}]}]})

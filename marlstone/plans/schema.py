@@ -121,6 +121,18 @@ class Schema:
                     break
         return self.fields.get(name)
 
+    def field_list(self, request: dict) -> list[str]:
+        """The fields that a request displays: those that it lists, or all."""
+        display = request.get("display")
+        if display is None:
+            return sorted(self.fields)
+        if not isinstance(display, list) or any(not isinstance(n, str) for n in display):
+            raise InvalidValueError("display is a list of names")
+        return display
+
+    def stored_names(self) -> list[str]:
+        return sorted({f.store_field for f in self.fields.values() if f.store_field})
+
     def to_json(self) -> dict:
         return {"fields": {n: f.config() for n, f in sorted(self.fields.items())}, "patterns": [[p, c] for p, c in self.patterns]}
 

@@ -38,5 +38,4 @@ class CommandLog:
         """The state of a checkpoint."""
         if self.collection.store.state()["seq"] < seq:
             return {"reached": False}
-        errors = self.collection.errors
-        return {"reached": True, "total_errors": len(errors), "errors": errors[:100]}
+        return {"reached": True, **self.collection.errors.to_json()}

@@ -75,7 +75,7 @@ def test_pipes_and_categorisers(coll, spark):
     model.add("english", "hello world")
     model.add("russian", "Привет Добро")
     coll.put_categoriser("lang", model)
-    coll.put_pipe("cat", {"mappings": [{"map": [{"categoriser": "lang", "from": ["text"], "to": "lang"}]}]})
+    coll.put_pipe("cat", {"mappings": [{"map": [{"categoriser": "lang", "from": ["text"], "to": "lang"}, {"from": ["text"], "to": "text"}]}]})
     coll.pipe_all(spark.createDataFrame([('{"id": "2", "text": "Hello world"}',)], "body string"), "cat")
     coll.commit()
     assert coll.get("default", "2")["data"] == {"id": ["2"], "lang": ["english"], "text": ["Hello world"]} and coll.categorise("lang", "Hello") == ["english"]
@@ -111,10 +111,37 @@ def test_presence_queries(coll):
 def test_checkpoints(coll):
     coll.put('{"id": [1, 2]}')
     coll.put("nonsense")
-    coll.put({"id": "1"})
-    state = coll.checkpoint()
-    assert state["reached"] and state["total_errors"] == 2 and len(state["errors"]) == 2
-    assert coll.checkpoint()["total_errors"] == 0
+    coll.put({"id": "1", "a_num": "x"})
+    first = coll.checkpoint(commit=False)
+    assert coll.checkpoints.state(first) == {"reached": False} and coll.checkpoints.state("none") is None
+    coll.put({"id": "2"})
+    second = coll.checkpoint()
+    state = coll.checkpoints.state(first)
+    assert state["reached"] and state["total_errors"] == 3 and {e["msg"] for e in state["errors"]} == {"several ids", "not a JSON object", "a_num: not a number"}
+    assert coll.checkpoints.state(second) == {"reached": True, "total_errors": 0, "errors": []} and coll.checkpoints.ids() == sorted([first, second])
+    coll.checkpoints.expire()
+    assert len(coll.checkpoints.ids()) == 2
+    coll.checkpoints.expire(0)
+    assert coll.checkpoints.ids() == []
+
+
+def test_error_logs_are_capped():
+    from marlstone.streaming.checkpoints import ErrorLog
+
+    log = ErrorLog(2)
+    for i in range(3):
+        log.append(f"m{i}", "t", "d")
+    assert log.to_json() == {"total_errors": 3, "errors": [{"msg": "m0", "doc_type": "t", "doc_id": "d"}, {"msg": "m1", "doc_type": "t", "doc_id": "d"}]}
+
+
+def test_direct_puts_raise_at_once(coll):
+    for bad in ({"id": [1, 2]}, {"id": 1, "a_num": "x"}, "nonsense"):
+        with pytest.raises(InvalidValueError):
+            coll.put(bad, raise_on_error=True)
+    coll.put({"id": 1, "a_num": 2}, raise_on_error=True)
+    coll.commit()
+    assert coll.get_fields("default", 1) == {"a_num": [2], "id": [1]} and coll.get_fields("default", 1, ["a_num", "none"]) == {"a_num": [2]}
+    assert coll.get_fields("default", 2) is None and coll.schema("default").field_list({}) == ["_meta", "a_num", "id"] and coll.schema("default").field_list({"display": ["x"]}) == ["x"]
 
 
 def test_engine(spark, tmp_path):

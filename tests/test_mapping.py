@@ -70,5 +70,24 @@ def test_mapped_categoriser():
     c = Categoriser({}, 1.05, 4, 10, 2)
     c.add("english", "hello world")
     c.add("russian", "Привет Добро")
-    m = Mapping.of({"map": [{"categoriser": "lang", "from": ["text"], "to": "lang"}]})
-    assert m.apply({"id": "2", "text": "Hello world"}, {"lang": c}) == {"lang": ["english"], "id": ["2"], "text": ["Hello world"]}
+    rule = {"categoriser": "lang", "from": ["text"], "to": "lang"}
+    both = Mapping.of({"map": [rule, {"from": ["text"], "to": "text"}]})
+    assert both.apply({"id": "2", "text": "Hello world"}, {"lang": c}) == {"lang": ["english"], "id": ["2"], "text": ["Hello world"]}
+    m = Mapping.of({"map": [rule]})
+    assert m.apply({"text": ["Hello", 1, "world"]}, {"lang": c}) == {"lang": ["english"]}
+    assert m.apply({"text": 5}, {"lang": c}) == {"lang": [""]} and m.apply({"text": []}, {"lang": c}) == {"lang": [""]}
+    with pytest.raises(UnknownNameError):
+        m.apply({"text": "x"}, {})
+
+
+def test_values_come_in_the_order_of_the_document():
+    m = Mapping.of({"map": [{"from": ["z"], "to": "a"}, {"from": ["b", 1], "to": "a"}, {"from": ["b", 0], "to": "a"}, {"from": [], "to": "all"}]})
+    assert m.apply({"z": [5, 6], "b": [1, 2], "a": 0}) == {"a": [0, 1, 2, 5, 6]}
+    assert m.apply({"z": [], "a": 0}) == {"a": []}
+    with pytest.raises(InvalidValueError):
+        m.apply([1])
+
+
+def test_a_body_that_is_no_object_passes_a_pipe_unchanged(spark):
+    df = spark.createDataFrame([("[1]",), ("nonsense",), (None,)], "body string")
+    assert sorted(r["body"] for r in send(df, "p", {"p": Pipe.of({"mappings": [{}]})}).collect()) == ["[1]", "nonsense"]
