@@ -16,7 +16,7 @@ from .operators.search import Search, Source
 from .operators.taxonomy import Taxonomy
 from .plans.schema import FORMAT, Field, Schema, default_schema, valid_name
 from .sources import ingest
-from .sources.store import Store, latest, upserted
+from .sources.store import Store, latest
 from .streaming.checkpoints import Checkpoints, ErrorLog
 
 
@@ -210,13 +210,9 @@ class Collection:
         last = latest(found.where("_problem is null").select("seq", "op", "doc_type", "doc_id", "body"))
         rows = self.process(last.where("op = 'put'"))
         self._log(rows.select("doc_type", "doc_id", F.explode("errors").alias("e")).select("doc_type", "doc_id", F.concat_ws(": ", "e.field", "e.message").alias("message")))
-        old = self.store.table()
         gone = last.where("op = 'delete'").select("doc_type", "doc_id")
-        keep = old
-        if "seq" in rows.columns:
-            rows = rows.drop("seq")
         top = found.agg(F.max("seq")).first()[0]
-        self.store.commit(upserted(keep, rows, gone), batch, -1 if top is None else int(top))
+        self.store.commit(rows.drop("seq"), gone, batch, -1 if top is None else int(top))
         self.store.save_config(self.config())
         self.errors = self.checkpoints.reach(self.store.state()["seq"], self.errors)
         found.unpersist()

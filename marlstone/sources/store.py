@@ -1,7 +1,10 @@
 """Versioned snapshots of a collection in a folder: Parquet tables, a configuration, a pointer.
 
-A commit writes a new version beside the old one and then moves the pointer, so readers see all of a commit
-or nothing of it. Rows are partitioned by document type. Files go through Hadoop's file system API.
+A version is a base, partitioned by document type, and a small delta: rows put since the base was written, and
+the keys of deleted ones. A commit writes a new delta beside the old one and then moves the pointer, so readers
+see all of a commit or nothing of it, and a commit costs in proportion to the delta; only when that has grown to
+a share of the base is the base written anew. Readers leave out the base's rows whose keys the delta holds (an
+anti-join, which lets filters through to the scan). Files go through Hadoop's file system API.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a file at most.
-FRAGMENT = 100_000_000
+#: Rows of a file at most; the share of the base's rows beyond which the delta is merged into it.
+FRAGMENT, MERGE = 100_000_000, 0.125
+KEYS, GONE = ["doc_type", "doc_id"], "_deleted"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -66,8 +71,9 @@ class Store:
     # ---- state
 
     def state(self) -> dict:
-        """version, batch (the last stream batch in it) and seq (the last command)."""
-        return json.loads(self.read_text("_pointer.json") or '{"version": 0, "batch": -1, "seq": -1}')
+        """version, batch (the last stream batch in it), seq (the last command), and the parts: name, rows and
+        schema of base and delta."""
+        return json.loads(self.read_text("_pointer.json") or '{"version": 0, "batch": -1, "seq": -1, "base": null, "delta": null}')
 
     def config(self) -> dict | None:
         content = self.read_text("_config.json")
@@ -76,20 +82,49 @@ class Store:
     def save_config(self, config: dict) -> None:
         self.write_text("_config.json", json.dumps(config, sort_keys=True))
 
+    def _read(self, part: dict | None) -> DataFrame | None:
+        return None if part is None else self.spark.read.schema(T.StructType.fromJson(part["schema"])).parquet(f"{self.path}/{part['name']}")
+
+    def _write(self, rows: DataFrame, name: str) -> dict:
+        path = f"{self.path}/{name}"
+        rows.write.mode("overwrite").option("maxRecordsPerFile", FRAGMENT).partitionBy("doc_type").parquet(path)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+        return {"name": name, "rows": self.spark.read.schema(schema).parquet(path).count(), "schema": schema.jsonValue()}
+
     def table(self) -> DataFrame | None:
         """The committed rows."""
-        v = self.state()["version"]
-        return self.spark.read.parquet(f"{self.path}/v={v}") if v else None
+        state = self.state()
+        base, delta = self._read(state["base"]), self._read(state["delta"])
+        return base if delta is None else upserted(base, delta.where(f"not {GONE}").drop(GONE), delta.where(GONE).select(*KEYS))
 
-    def commit(self, rows: DataFrame, batch: int = -1, seq: int = -1) -> int:
+    def commit(self, rows: DataFrame, deleted: DataFrame | None = None, batch: int = -1, seq: int = -1) -> int:
+        """Puts rows and takes keys away; the new version's number."""
         state = self.state()
         v = state["version"] + 1
-        rows.write.mode("overwrite").option("maxRecordsPerFile", FRAGMENT).parquet(f"{self.path}/v={v}")
-        self.write_text("_pointer.json", json.dumps({"version": v, "batch": max(batch, state["batch"]), "seq": max(seq, state["seq"])}))
-        if v > 2:
-            self.remove(f"v={v - 2}")  # readers of the last version may still be at work
+        new = {"version": v, "batch": max(batch, state["batch"]), "seq": max(seq, state["seq"]), "base": state["base"], "delta": None}
+        if state["base"] is None:
+            new["base"] = self._write(rows, f"base-{v}")
+        else:
+            changes = rows.withColumn(GONE, F.lit(False))
+            if deleted is not None:
+                changes = changes.unionByName(deleted.select(*KEYS).withColumn(GONE, F.lit(True)), allowMissingColumns=True)
+            new["delta"] = self._write(upserted(self._read(state["delta"]), changes), f"delta-{v}")
+            if new["delta"]["rows"] > MERGE * new["base"]["rows"]:
+                base, delta = self._read(state["base"]), self._read(new["delta"])
+                whole = upserted(base, delta.where(f"not {GONE}").drop(GONE), delta.where(GONE).select(*KEYS))
+                new["base"], new["delta"] = self._write(whole, f"base-{v}"), None
+        self.write_text("_pointer.json", json.dumps(new))
+        self._sweep(v, {p["name"] for s in (state, new) for p in (s["base"], s["delta"]) if p})
         return v
 
+    def _sweep(self, version: int, keep: set[str]) -> None:
+        """Removes what neither this version nor the last one reads: readers of that may still be at work."""
+        fs, top = self._file("")
+        for s in fs.listStatus(top):
+            name = s.getPath().getName()
+            if name.startswith(("base-", "delta-")) and name not in keep and int(name.rpartition("-")[2]) < version:
+                self.remove(name)
+
 
 def latest(commands: DataFrame, order: str = "seq") -> DataFrame:
     """The last command of each (doc_type, doc_id); rows without doc_id are documents of their own."""
@@ -101,8 +136,7 @@ def latest(commands: DataFrame, order: str = "seq") -> DataFrame:
 
 def upserted(old: DataFrame | None, new: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """Old rows with those of the same key replaced, and deleted keys gone."""
-    keys = ["doc_type", "doc_id"]
     if old is None:
         return new
-    gone = new.select(*keys) if deleted is None else new.select(*keys).unionByName(deleted.select(*keys))
-    return old.join(gone.where("doc_id is not null").distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    gone = new.select(*KEYS) if deleted is None else new.select(*KEYS).unionByName(deleted.select(*KEYS))
+    return old.join(gone.where("doc_id is not null").distinct(), KEYS, "left_anti").unionByName(new, allowMissingColumns=True)

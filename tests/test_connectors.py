@@ -58,3 +58,25 @@ def test_upserts(spark):
     new = spark.createDataFrame([(5, "t", "a", 9)], schema)
     gone = spark.createDataFrame([("u", "a")], "doc_type string, doc_id string")
     assert sorted(r["v"] for r in upserted(last, new, gone).collect()) == [4, 5, 9]
+
+
+def test_versions_of_a_store(spark, tmp_path):
+    from marlstone.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_type string, doc_id string, v int")
+    seen = lambda: sorted((r["doc_type"], r["doc_id"] or "", r["v"]) for r in store.table().collect())
+    assert store.table() is None
+    store.commit(rows(*[("1", str(i), i) for i in range(40)], ("2", None, 7)))
+    assert store.state()["base"]["rows"] == 41 and seen() == sorted([*(("1", str(i), i) for i in range(40)), ("2", "", 7)])
+    before = store.table()
+    store.commit(rows(("1", "3", 33), ("2", None, 8)).withColumn("extra", F.lit("x")), rows(("1", "4", 0), ("9", "none", 0)), batch=0, seq=5)
+    want = sorted([*(("1", str(i), 33 if i == 3 else i) for i in range(40) if i != 4), ("2", "", 7), ("2", "", 8)])
+    assert seen() == want and store.state()["delta"]["rows"] == 4 and store.state()["base"]["name"] == "base-1" and before.count() == 41
+    store.commit(rows(("1", "4", 44)))
+    assert seen() == sorted([*want, ("1", "4", 44)]) and store.state()["delta"]["name"] == "delta-3"
+    store.commit(rows(*[("1", str(i), -i) for i in range(5)]))
+    assert store.state()["delta"] is None and store.state()["base"]["name"] == "base-4" and len(seen()) == 42
+    assert (store.state()["batch"], store.state()["seq"]) == (0, 5)
+    store.commit(rows())
+    assert len(seen()) == 42 and sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == ["base-4", "delta-5"]
