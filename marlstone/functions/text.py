@@ -35,27 +35,30 @@ def words_of(text: str, pattern: str = WORD, lower: bool = True) -> list[str]:
     return regex.findall(f"(?:{pattern})", text.lower() if lower else text, flags=0 if lower else regex.IGNORECASE)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def has_phrase(tokens: Column, phrase: list[str]) -> Column:
-    """Whether the words stand next to each other in this order."""
-    n = len(phrase)
-    if n == 0:
+    """Whether the words stand next to each other in this order; words hold no spaces."""
+    if not phrase:
         return F.lit(False)
-    want = F.array(*[F.lit(w) for w in phrase])
-    if n == 1:
-        return F.array_contains(tokens, phrase[0])
-    return F.forall(want, lambda w: F.array_contains(tokens, w)) & F.exists(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1)), lambda i: F.slice(tokens, i, n) == want
-    )
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(phrase)} ")
 
 
 def has_near(tokens: Column, group: list[str], window: int) -> Column:
-    """Whether all words stand in some run of ``window`` words."""
+    """Whether all words stand in some run of ``window`` words; such a run can start at one of them."""
     if not group:
         return F.lit(False)
     want = F.array(*[F.lit(w) for w in dict.fromkeys(group)])
-    return F.forall(want, lambda w: F.array_contains(tokens, w)) & F.exists(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - window + 1)),
-        lambda i: F.size(F.array_intersect(F.slice(tokens, i, window), want)) == F.size(want),
+
+    def starts(t: Column, i: Column) -> Column:
+        return F.array_contains(want, F.get(t, i - 1)) & (F.size(F.array_intersect(F.slice(t, i, window), want)) == F.size(want))
+
+    return let(
+        tokens,
+        lambda t: F.forall(want, lambda w: F.array_contains(t, w)) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t))), lambda i: starts(t, i)),
     )
 
 
@@ -231,8 +234,8 @@ def hashed_term(term: Column, most: int) -> Column:
     keep = most - 6 if most >= 6 else 0
     data = F.encode(term, "UTF-8")
     h = _rolled(F.substring(data, F.lit(keep + 1), F.octet_length(data)))
-    part = lambda j: F.when(F.shiftright(h, 6 * j) > 0, F.chr(F.shiftright(h, 6 * j).bitwiseAND(F.lit(63)) + 33)).otherwise(" ")
-    short = F.concat(F.decode(F.substring(data, F.lit(1), F.lit(keep)), "UTF-8"), *[part(j) for j in range(6)])
+    part = lambda x, j: F.when(F.shiftright(x, 6 * j) > 0, F.chr(F.shiftright(x, 6 * j).bitwiseAND(F.lit(63)) + 33)).otherwise(" ")
+    short = F.concat(F.decode(F.substring(data, F.lit(1), F.lit(keep)), "UTF-8"), let(h, lambda x: F.concat(*[part(x, j) for j in range(6)])))
     return F.when(F.octet_length(term) > most, short).otherwise(term)
 
 

@@ -30,6 +30,7 @@ def never() -> Column:
 class Node:
     match: Column
     weight: Column | None = None  # None: 0 for every row
+    dear: bool = False  # cut words or distances: tested after plain comparisons
 
     def score(self) -> Column:
         return F.lit(0.0) if self.weight is None else self.weight
@@ -199,7 +200,7 @@ def _distance(t: Type, name: str, c: Field, value) -> Node:
     column = t.column(name, c)
     metres = geo.nearest(column if t.many(name, c) else F.array(column), lon, lat)
     match = metres <= most if most > 0 else metres.isNotNull()
-    return Node(match, geo.weight(metres))
+    return Node(match, geo.weight(metres), dear=True)
 
 
 def _positions(terms: Column, word: str) -> Column:
@@ -207,13 +208,14 @@ def _positions(terms: Column, word: str) -> Column:
 
 
 def _next_to(terms: Column, units: list[str]) -> Column:
-    places = [_positions(terms, w) for w in units]
-    return F.exists(places[0], lambda p: reduce(and_, [F.array_contains(q, p + i) for i, q in enumerate(places)]))
+    places = F.array(*[_positions(terms, w) for w in units])
+    tests = lambda q, p: reduce(and_, [F.array_contains(q[i], p + i) for i in range(len(units))])
+    return text.let(places, lambda q: F.exists(q[0], lambda p: tests(q, p)))
 
 
 def _together(terms: Column, units: list[str], window: int) -> Column:
-    places = [_positions(terms, w) for w in dict.fromkeys(units)]
-    return F.exists(F.flatten(F.array(*places)), lambda p: reduce(and_, [F.exists(q, lambda x: (x >= p) & (x < p + window)) for q in places]))
+    places = F.array(*[_positions(terms, w) for w in dict.fromkeys(units)])
+    return text.let(places, lambda q: F.exists(F.flatten(q), lambda p: F.forall(q, lambda own: F.exists(own, lambda x: (x >= p) & (x < p + window)))))
 
 
 def cjk_units(query: str) -> list[str]:
@@ -225,17 +227,26 @@ def cjk_units(query: str) -> list[str]:
     return [best[p] for p in sorted(best)]
 
 
-def _word(t: Type, name: str, c: Field, word: str) -> Column:
-    """One word of an and, or or parsed query: by its stem, unless it starts with a capital."""
-    stem = c.processor.startswith("stem_") and not word[:1].isupper()
-    low = word.lower()
-    terms = t.terms(c) if t.terms is not None else None
-    if terms is not None:
-        if stem:
-            return F.array_contains(F.col(f"`z_{c.group}`"), text.stem_english(low))
-        return F.exists(terms, lambda x: x["term"] == low)
+def _over_words(t: Type, name: str, c: Field, words: list[str], make: Callable) -> Column:
+    """``make(has)``, where ``has(word)`` tests for a word: by its stem, unless it starts with a capital or the
+    field has none. A plain column's words are cut, and stemmed, once for each row."""
+
+    def by_stem(w: str) -> bool:
+        return c.processor.startswith("stem_") and not w[:1].isupper()
+
+    if t.terms is not None:
+        terms, z = t.terms(c), F.col(f"`z_{c.group}`")
+
+        def held(w: str) -> Column:
+            low = w.lower()
+            return F.array_contains(z, text.stem_english(low)) if by_stem(w) else F.exists(terms, lambda x: x["term"] == low)
+
+        return make(held)
     tokens = text.words(t.column(name, c), t.pattern)
-    return F.array_contains(text.stems(tokens) if stem else tokens, text.stem_english(low) if stem else low)
+    if not any(map(by_stem, words)):
+        return text.let(tokens, lambda x: make(lambda w: F.array_contains(x, w.lower())))
+    both = F.struct(tokens.alias("t"), text.stems(tokens).alias("s"))
+    return text.let(both, lambda x: make(lambda w: F.array_contains(x["s"], text.stem_english(w.lower())) if by_stem(w) else F.array_contains(x["t"], w.lower())))
 
 
 def _text(t: Type, name: str, c: Field, value) -> Column:
@@ -250,8 +261,8 @@ def _text(t: Type, name: str, c: Field, value) -> Column:
     if not units:
         return never()
     if op in ("and", "or"):
-        tests = [_word(t, name, c, w) for w in dict.fromkeys(units)]
-        return reduce(and_ if op == "and" else or_, tests)
+        wanted = list(dict.fromkeys(units))
+        return _over_words(t, name, c, wanted, lambda has: reduce(and_ if op == "and" else or_, [has(w) for w in wanted]))
     units = [w.lower() for w in units]
     strict = spec.get("strict_window", False) or cjk
     span = max(int(window), len(units)) if window and strict else len(units)
@@ -276,6 +287,7 @@ def _parse(t: Type, name: str, c: Field, value) -> Column:
     if c.processor == "cjk":
         raise InvalidValueError("CJK text can't be parsed")
     tokens, at = _TOKEN.findall(query), 0
+    has: Callable | None = None
 
     def peek() -> str | None:
         return tokens[at] if at < len(tokens) else None
@@ -316,13 +328,19 @@ def _parse(t: Type, name: str, c: Field, value) -> Column:
                 if inner is not None:
                     parts.append(inner)
             else:
-                parts += [_word(t, name, c, w) for w in text.words_of(tokens[at - 1], t.pattern, lower=False)]
+                parts += [has(w) for w in text.words_of(tokens[at - 1], t.pattern, lower=False)]
         return reduce(and_ if op == "and" else or_, parts) if parts else None
 
-    found = either()
-    if peek() is not None:
-        raise InvalidValueError("a bracket is not opened")
-    return never() if found is None else found
+    def whole(test: Callable) -> Column:
+        nonlocal at, has
+        at, has = 0, test
+        found = either()
+        if peek() is not None:
+            raise InvalidValueError("a bracket is not opened")
+        return never() if found is None else found
+
+    words = [w for x in tokens if x not in ("(", ")", "AND", "OR", "XOR", "NOT") for w in text.words_of(x, t.pattern, lower=False)]
+    return _over_words(t, name, c, words, whole)
 
 
 _META = {"exists": "F", "nonempty": "N", "empty": "M", "error": "E"}
@@ -347,9 +365,9 @@ def _leaf(t: Type, name: str, c: Field, kind: str, value, taxonomies: dict[str,
     if c.type == "lonlat" and kind == "distscore":
         return _distance(t, name, c, value)
     if c.type == "text" and kind == "text":
-        return Node(_text(t, name, c, value))
+        return Node(_text(t, name, c, value), dear=True)
     if c.type == "text" and kind == "parse":
-        return Node(_parse(t, name, c, value))
+        return Node(_parse(t, name, c, value), dear=True)
     if c.type == "meta" and kind in _META:
         return Node(_meta(t, kind, value))
     raise InvalidValueError(f"a field of type {c.type} can't be asked for {kind!r}")
@@ -359,7 +377,7 @@ def _leaf(t: Type, name: str, c: Field, kind: str, value, taxonomies: dict[str,
 
 
 def _guarded(t: Type, node: Node) -> Node:
-    return node if t.guard is None else Node(t.guard & node.match, node.weight)
+    return node if t.guard is None else Node(t.guard & node.match, node.weight, node.dear)
 
 
 def _sum(nodes: list[Node], only_matching: bool) -> Column | None:
@@ -367,10 +385,15 @@ def _sum(nodes: list[Node], only_matching: bool) -> Column | None:
     return reduce(lambda a, b: a + b, parts) if parts else None
 
 
+def _all(nodes: list[Node]) -> Column:
+    """All match; what costs little is tested first."""
+    return reduce(and_, [n.match for n in sorted(nodes, key=lambda n: n.dear)])
+
+
 def _either(nodes: list[Node]) -> Node:
     if not nodes:
         return Node(never())
-    return nodes[0] if len(nodes) == 1 else Node(reduce(or_, [n.match for n in nodes]), _sum(nodes, True))
+    return nodes[0] if len(nodes) == 1 else Node(reduce(or_, [n.match for n in nodes]), _sum(nodes, True), any(n.dear for n in nodes))
 
 
 def compiled(query: dict | None, types: list[Type], taxonomies: dict[str, Taxonomy] | None = None) -> Node:
@@ -407,7 +430,7 @@ def compiled(query: dict | None, types: list[Type], taxonomies: dict[str, Taxono
         if factor < 0:
             raise InvalidValueError("a factor can't be negative")
         inner = sub(body.get("query"))
-        return Node(inner.match, None if inner.weight is None else inner.weight * factor)
+        return Node(inner.match, None if inner.weight is None else inner.weight * factor, inner.dear)
     if kind not in ("and", "or", "xor", "and_not", "and_maybe", "filter"):
         raise InvalidValueError(f"unknown query node: {kind!r}")
     if not isinstance(body, list) or (kind in ("and_not", "and_maybe", "filter") and len(body) < 2 and not (kind == "filter" and len(body) == 1)):
@@ -415,17 +438,18 @@ def compiled(query: dict | None, types: list[Type], taxonomies: dict[str, Taxono
     nodes = [sub(q) for q in body]
     if not nodes:
         return Node(never())
-    first, rest = nodes[0], nodes[1:]
+    first, rest, dear = nodes[0], nodes[1:], any(n.dear for n in nodes)
     if kind == "and":
-        return Node(reduce(and_, [n.match for n in nodes]), _sum(nodes, False))
+        return Node(_all(nodes), _sum(nodes, False), dear)
     if kind == "or":
         return _either(nodes)
     if kind == "xor":
         odd = reduce(lambda a, b: a + b, [F.coalesce(n.match, never()).cast("int") for n in nodes])
-        return Node(F.pmod(odd, F.lit(2)) == 1, _sum(nodes, True))
+        return Node(F.pmod(odd, F.lit(2)) == 1, _sum(nodes, True), dear)
     if kind == "and_not":
-        return Node(first.match & ~F.coalesce(reduce(or_, [n.match for n in rest]), never()), first.weight)
+        others = ~F.coalesce(reduce(or_, [n.match for n in rest]), never())
+        return Node(_all([first, Node(others, dear=any(n.dear for n in rest))]), first.weight, dear)
     if kind == "filter":
-        return Node(reduce(and_, [n.match for n in nodes]), first.weight)
+        return Node(_all(nodes), first.weight, dear)
     more = _sum(rest, True)
-    return Node(first.match, first.weight if more is None else more if first.weight is None else first.weight + more)
+    return Node(first.match, first.weight if more is None else more if first.weight is None else first.weight + more, first.dear)
