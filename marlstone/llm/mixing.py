@@ -11,8 +11,9 @@ target by less than that one document. All draws are hashes of the two documents
 the level, so that reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last one; a source of
-size 0 has target 0; rows that share a doc_id are units of their own in ``assigned`` and get equal copies in
-``mixed``; an empty table gives no rows.
+size 0 has target 0; of rows with equal doc_id, source and size, as many get a copy more as their fractions sum
+to, and the rest of that sum is what goes through the meetings; in ``mixed``, rows that share a doc_id get equal
+copies, the most that one of them has; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK, WEIGHTS, SHARE, MOST = 64, (3, 1, 2), 1.5, 2
-
-_STATE = "struct<done:array<struct<doc_id:bigint,size:bigint,copies:int>>,cur:struct<doc_id:bigint,size:bigint,base:int>,p:double>"
-_OUT = "array(named_struct('doc_id', {0}.doc_id, 'size', {0}.size, 'copies', {0}.base + cast(round({1}) as int)))"
-_CUR = "named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base)"
-_DRAW = "(shiftrightunsigned(xxhash64(acc.cur.doc_id, acc.cur.size, x.doc_id, x.size, {seed}), 11) / 9007199254740992D)"
-#: Words that the current document can give to the next one, and those that it can take from it.
-_GIVE = "least(acc.p * acc.cur.size, (1 - x.p) * x.size)"
-_TAKE = "least(x.p * x.size, (1 - acc.p) * acc.cur.size)"
+#: Equal rows are told apart again in runs of so many.
+RUN = 4096
+
+#: A unit: equal rows (n of them; whole of them get a copy more for sure), of which one is still fractional.
+_UNIT = "struct<doc_id:bigint,size:bigint,base:int,n:bigint,whole:bigint>"
+_STATE = f"struct<done:array<struct<unit:{_UNIT},extra:int>>,cur:{_UNIT},p:double>"
+_OUT = "array(named_struct('unit', {0}, 'extra', cast(round({1}) as int)))"
+_DRAW = "(shiftrightunsigned(xxhash64(acc.cur.doc_id, acc.cur.size, x.unit.doc_id, x.unit.size, {seed}), 11) / 9007199254740992D)"
+#: Words that the current unit can give to the next one, and those that it can take from it.
+_GIVE = "least(acc.p * acc.cur.size, (1 - x.p) * x.unit.size)"
+_TAKE = "least(x.p * x.unit.size, (1 - acc.p) * acc.cur.size)"
 _WHOLE = "abs({0} - round({0})) < 1e-9"
 
 
@@ -39,18 +43,18 @@ def _fold(seed: int) -> Column:
     fraction; x: the next unit."""
     give = f"{_DRAW.format(seed=seed)} * ({_GIVE} + {_TAKE}) < {_TAKE}"
     masses = (
-        f"CASE WHEN {give} THEN named_struct('a', acc.p - {_GIVE} / acc.cur.size, 'b', x.p + {_GIVE} / x.size)"
-        f" ELSE named_struct('a', acc.p + {_TAKE} / acc.cur.size, 'b', x.p - {_TAKE} / x.size) END"
+        f"CASE WHEN {give} THEN named_struct('a', acc.p - {_GIVE} / acc.cur.size, 'b', x.p + {_GIVE} / x.unit.size)"
+        f" ELSE named_struct('a', acc.p + {_TAKE} / acc.cur.size, 'b', x.p - {_TAKE} / x.unit.size) END"
     )
-    a, b = _OUT.format("acc.cur", "m.a"), _OUT.format("x", "m.b")
+    a, b = _OUT.format("acc.cur", "m.a"), _OUT.format("x.unit", "m.b")
     met = (
-        f"CASE WHEN {_WHOLE.format('m.a')} AND {_WHOLE.format('m.b')} THEN named_struct('done', concat(acc.done, {a}, {b}), 'cur', cast(null as struct<doc_id:bigint,size:bigint,base:int>), 'p', 0D)"
-        f" WHEN {_WHOLE.format('m.a')} THEN named_struct('done', concat(acc.done, {a}), 'cur', {_CUR}, 'p', m.b)"
+        f"CASE WHEN {_WHOLE.format('m.a')} AND {_WHOLE.format('m.b')} THEN named_struct('done', concat(acc.done, {a}, {b}), 'cur', cast(null as {_UNIT}), 'p', 0D)"
+        f" WHEN {_WHOLE.format('m.a')} THEN named_struct('done', concat(acc.done, {a}), 'cur', x.unit, 'p', m.b)"
         f" ELSE named_struct('done', concat(acc.done, {b}), 'cur', acc.cur, 'p', m.a) END"
     )
     step = (
-        f"CASE WHEN {_WHOLE.format('x.p')} THEN named_struct('done', concat(acc.done, {_OUT.format('x', 'x.p')}), 'cur', acc.cur, 'p', acc.p)"
-        f" WHEN acc.cur IS NULL THEN named_struct('done', acc.done, 'cur', {_CUR}, 'p', x.p)"
+        f"CASE WHEN {_WHOLE.format('x.p')} THEN named_struct('done', concat(acc.done, {_OUT.format('x.unit', 'x.p')}), 'cur', acc.cur, 'p', acc.p)"
+        f" WHEN acc.cur IS NULL THEN named_struct('done', acc.done, 'cur', x.unit, 'p', x.p)"
         f" ELSE element_at(transform(array({masses}), m -> {met}), 1) END"
     )
     empty = f"cast(named_struct('done', array(), 'cur', null, 'p', 0D) as {_STATE})"
@@ -62,10 +66,10 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """For each source of ``sized(source, size)``: source_size, n, target. Shares above MOST times a
+    """For each source of ``sized(source, size)``: source_size, target. Shares above MOST times a
     source's size are cut to that and the excess reshared by weight: with the sources in the order of
     cap / weight, a prefix is cut, and the first source that isn't sets the level of all others."""
-    source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
     source = source.withColumn("weight", weight).withColumn("cap", (MOST * F.col("source_size")).cast("double"))
@@ -77,7 +81,7 @@ def targets(sized: DataFrame) -> DataFrame:
     free = F.col("level") * F.col("weight") <= F.col("cap")
     level = F.max(F.when(free, F.col("level"))).over(every)
     target = F.least(F.coalesce(level * F.col("weight"), F.col("cap")), F.col("cap"))
-    return source.select("source", "source_size", "n", target.alias("target"))
+    return source.select("source", "source_size", target.alias("target"))
 
 
 def assigned(docs: DataFrame) -> DataFrame:
@@ -86,25 +90,25 @@ def assigned(docs: DataFrame) -> DataFrame:
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sized")
     goal = written(targets(sized), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long"))
+    at = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("groups") / BLOCK)).cast("long"))
     right = goal.withColumnRenamed("source", "of")
+    # Equal rows are one unit, so that no block grows with their number.
+    alike = written(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")), "alike")
+    groups = alike.groupBy("source").agg(F.count("*").alias("groups"))
+    most = groups.agg(F.max("groups")).first()[0] or 0
+    share = goal.join(groups, goal.source.eqNullSafe(groups.source)).select(goal.source.alias("of"), F.least(rate, F.lit(float(MOST))).alias("rate"), "groups")
+    extra = F.when(F.col("size") > 0, F.col("n") * (F.col("rate") - F.floor("rate"))).otherwise(0.0)
+    unit = F.struct("doc_id", "size", F.floor("rate").cast("int").alias("base"), "n", F.floor("extra").cast("long").alias("whole"))
     units = (
-        sized.join(right, sized.source.eqNullSafe(right.of))
-        .withColumn("rate", F.least(rate, F.lit(float(MOST))))
+        alike.join(share, alike.source.eqNullSafe(share.of))
+        .withColumn("extra", extra)
         .select(
             "source",
             at.alias("block"),
-            F.struct(
-                (-F.col("size")).alias("order"),
-                F.xxhash64("doc_id").alias("h"),
-                "size",
-                "doc_id",
-                F.floor("rate").cast("int").alias("base"),
-                F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("p"),
-            ).alias("unit"),
+            F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id").alias("h"), unit.alias("unit"), (F.col("extra") - F.floor("extra")).alias("p")).alias("unit"),
         )
     )
-    blocks = -(-(goal.agg(F.max("n")).first()[0] or 0) // BLOCK)
+    blocks = -(-most // BLOCK)
     done, level = None, 0
     while True:
         level += 1
@@ -112,7 +116,7 @@ def assigned(docs: DataFrame) -> DataFrame:
             units.groupBy("source", "block").agg(F.array_sort(F.collect_list("unit")).alias("units")).select("source", "block", _fold(level).alias("acc")),
             f"level{level}",
         )
-        out = folded.select("source", F.explode("acc.done").alias("d")).select("source", "d.*")
+        out = folded.select("source", F.explode("acc.done").alias("d")).select("source", "d.unit", "d.extra")
         done = out if done is None else done.unionByName(out)
         left = folded.where("acc.cur is not null")
         if blocks <= 1:
@@ -121,13 +125,16 @@ def assigned(docs: DataFrame) -> DataFrame:
         units = left.select(
             "source",
             F.expr(f"block div {BLOCK}").alias("block"),
-            F.expr("named_struct('order', -acc.cur.size, 'h', xxhash64(acc.cur.doc_id), 'size', acc.cur.size, 'doc_id', acc.cur.doc_id, 'base', acc.cur.base, 'p', acc.p)").alias("unit"),
+            F.expr("named_struct('order', -acc.cur.size, 'h', xxhash64(acc.cur.doc_id), 'unit', acc.cur, 'p', acc.p)").alias("unit"),
         )
     draw = F.expr("shiftrightunsigned(xxhash64(acc.cur.doc_id, acc.cur.size, 0), 11) / 9007199254740992D")
-    last = left.select("source", F.col("acc.cur.doc_id").alias("doc_id"), F.col("acc.cur.size").alias("size"), (F.col("acc.cur.base") + (draw < F.col("acc.p")).cast("int")).alias("copies"))
-    done = done.unionByName(last)
-    return done.join(right, done.source.eqNullSafe(right.of)).select(
-        "doc_id", "size", "source", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    done = done.unionByName(left.select("source", F.col("acc.cur").alias("unit"), (draw < F.col("acc.p")).cast("int").alias("extra")))
+    rows = done.withColumn("part", F.explode(F.expr(f"sequence(0L, (unit.n - 1) div {RUN})"))).withColumn(
+        "i", F.explode(F.expr(f"sequence(part * {RUN} + 1, least(unit.n, (part + 1) * {RUN}))"))
+    )
+    copies = F.col("unit.base") + (F.col("i") <= F.col("unit.whole") + F.col("extra")).cast("int")
+    return rows.join(right, rows.source.eqNullSafe(right.of)).select(
+        "unit.doc_id", "unit.size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("unit.size")).cast("long").alias("taken")
     )
 
 

@@ -88,6 +88,15 @@ def test_mixed_repeats_rows_and_keeps_columns(spark):
     assert n == {d: c * own[d] for d, c in copies.items() if c}
 
 
+def test_equal_rows_are_many(spark):
+    """Rows without an id, and rows that repeat, neither meet in one block nor miss the target."""
+    rows = [(None, "a b c", "x")] * 900 + [(1, "a b", "x")] * 300 + [(10 + i, "a b c d", "x") for i in range(300)] + [(5, "q " * 4000, "y")] * 3
+    got = mixing.assigned(table(spark, rows)).collect()
+    _, target = plain_targets(rows)
+    assert len(got) == len(rows) and abs(sum(r["taken"] for r in got if r["source"] == "x") - target["x"]) <= 4
+    assert {r["copies"] for r in got} <= {0, 1, 2} and len({r["copies"] for r in got if r["doc_id"] is None}) <= 2
+
+
 def test_empty_and_wordless_tables(spark):
     assert mixing.assigned(table(spark, [])).count() == 0 and mixing.mixed(table(spark, [])).count() == 0
     got = mixing.assigned(table(spark, [(1, None, "a"), (2, "", None)])).collect()
