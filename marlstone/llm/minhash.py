@@ -25,8 +25,9 @@ from .shared import U64, Union, components, mix, shingle_sets, small_batches, te
 
 #: 120 slots in 30 bands of 4: a pair at 0.8 shares no band with probability 1.4e-7, at 0.85 with 2e-10.
 SLOTS, ROWS = 120, 4
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 256
+#: Members of a bucket that are compared with each other in one task, and those of other components that
+#: visit its largest one.
+BLOCK, VISITORS = 256, 1024
 #: A pair is set aside without verification if the signatures' estimate is this far (5 deviations) below.
 SLACK = 0.18
 
@@ -143,30 +144,27 @@ def _confirm(percent: int):
 
 
 def _within(percent: int):
-    """Links between rows of one block that are not yet in one component: pairs in the order of
-    their estimate, each confirmed on full sets, until no pair joins two components. Members at home in
-    the block meet each other and the visitors; a visitor has met those of later blocks at its own home."""
+    """Links between the two blocks of a task (or inside its one block) whose rows are not yet in one
+    component: pairs in the order of their estimate, each confirmed on full sets, until no pair joins two
+    components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
         sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
         sets = [np.frombuffer(x, U64) for x in pdf["members"]]
-        node, comp, home = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["home"].to_numpy()
-        here, main = home == pdf["block"].to_numpy(), pdf["main"].to_numpy()
-        _, local = np.unique(comp, return_inverse=True)
-        union, found = Union(local.max() + 1), []
-        pairs = []
-        for i in np.flatnonzero(~main):
-            other = (local != local[i]) & here
-            if here[i]:
-                other[:i] &= main[:i]
-            else:
-                other &= main | (home > home[i])
-            other = np.flatnonzero(other)
+        node, second = pdf["node"].to_numpy(), pdf["second"].to_numpy()
+        inside = pdf["part"].iloc[0] == 2 and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        _, local = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        union, found, pairs = Union(local.max() + 1), [], []
+        first = np.flatnonzero(~second)
+        for k in first if inside else np.flatnonzero(second):
+            other = first[local[first] != local[k]]
+            if inside:
+                other = other[other < k]
             if len(other):
-                est = (sig[other] == sig[i]).mean(axis=1)
+                est = (sig[other] == sig[k]).mean(axis=1)
                 near = est >= percent / 100 - SLACK
-                pairs.append(np.stack([np.full(near.sum(), i), other[near], np.round(est[near] * -1e6).astype(np.int64)], axis=1))
+                pairs.append(np.stack([np.full(near.sum(), k), other[near], np.round(est[near] * -1e6).astype(np.int64)], axis=1))
         if pairs:
             pairs = np.concatenate(pairs)
             for i, j, _ in pairs[np.argsort(pairs[:, 2], kind="stable")]:
@@ -235,20 +233,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     )
     # In a bucket of several components, members of the largest one need not meet each other. All others
     # visit that component: each pair of document and component once, whatever the number of buckets that
-    # they share, and the component's members stay in one block each.
+    # they share. A task holds one block of either side.
     main = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("c"))
     torn = written(placed.join(main.where("c > 1").select("key", "most"), "key"), "torn")
-    at_home = torn.where("component = most").select("most", "node", "component").distinct()
-    sizes = at_home.groupBy("most").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    at_home = at_home.join(sizes, "most").withColumn("home", home).withColumn("block", F.col("home"))
-    visits = torn.where("component <> most").select("most", "node", "component").distinct()
-    visits = visits.join(sizes, "most").withColumn("home", F.lit(-1)).withColumn("block", every)
-    columns = ["key", "node", "component", "home", "main", "block"]
-    first = at_home.withColumn("main", F.lit(True)).unionByName(visits.withColumn("main", F.lit(False)))
-    first = first.withColumnRenamed("most", "key").select(F.lit(1).alias("part"), *columns)
+    sides = torn.select(F.col("most").alias("key"), "node", "component", (F.col("component") != F.col("most")).alias("second")).distinct()
+    sizes = sides.groupBy("key").agg(
+        F.ceil(F.count_if(~F.col("second")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if("second") / VISITORS).cast("int").alias("visits")
+    )
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = sides.join(sizes, "key")
+    first = sides.where("not second").select("key", "node", "component", "second", block("homes").alias("i"), every("visits").alias("j"))
+    first = first.unionByName(sides.where("second").select("key", "node", "component", "second", block("visits").alias("j"), every("homes").alias("i")))
     # Those others meet among themselves, each set of members once.
     others = torn.where("component <> most")
     sets = others.groupBy("key").agg(
@@ -260,12 +257,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     )
     sets = sets.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     sets = sets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    second = others.join(sets, "key").withColumn("home", home).withColumn("main", F.lit(False)).withColumn("block", every)
-    mixed = first.unionByName(second.select(F.lit(2).alias("part"), *columns))
+    own = others.join(sets, "key").select("key", "node", "component", block("blocks").alias("own"), every("blocks").alias("other"))
+    second = own.select("key", "node", "component", (F.col("own") > F.col("other")).alias("second"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    mixed = first.withColumn("part", F.lit(1)).unionByName(second.withColumn("part", F.lit(2)))
     more = (
         mixed.join(heads.select("node", "sig"), "node")
         .join(full, "node")
-        .groupBy("part", "key", "block")
+        .groupBy("part", "key", "i", "j")
         .applyInPandas(_within(percent), "u long, v long")
     )
     more = written(more, "more")
