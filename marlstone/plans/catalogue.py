@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import Collection, together, typed
-from ..functions import text
+from ..functions import geo, text
 from ..operators import categorise
 from ..operators.mapping import Pipe, condition_column, send
 from ..operators.query import normal_column
 from ..operators.search import Search, Source
 from ..operators.taxonomy import Taxonomy, closure
-from ..sources import ingest
+from ..sources import connectors, ingest
 from ..sources.store import latest, scratch, upserted
 from ..streaming.commands import CommandLog
 from .schema import Field, default_schema
@@ -693,3 +693,174 @@ def stream_command_log(spark, sf_dir):
     log.append(commands)
     log.start().awaitTermination()
     return log.collection.source().table.select("doc_id", F.element_at("f_nvalue", 1).alias("value"))
+
+
+# ---------------------------------------------------------------- many-valued fields, indexing, connectors
+
+
+def _talks(spark, sf_dir) -> Source:
+    talks = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("turn").cast("array<double>")).alias("turns"), F.array_sort(F.collect_set("role")).alias("roles"))
+    fields = {"conv_id": {"type": "id"}, "turns": {"type": "double"}, "roles": _exact("role")}
+    return typed(talks, fields, id_column="conv_id")
+
+
+@_query("SELECT conv_id, CAST(1 AS DOUBLE) AS score FROM conversations WHERE turn BETWEEN 5 AND 6 GROUP BY 1")
+def many_range(spark, sf_dir):
+    """Any value of a field within the range."""
+    return _rows(_talks(spark, sf_dir), {"field": ["turns", "range", [5, 6]]}, "conv_id", score=True)
+
+
+@_query("SELECT conv_id FROM conversations WHERE role IN ('system', 'tool') GROUP BY 1")
+def many_is(spark, sf_dir):
+    return _rows(_talks(spark, sf_dir), {"field": ["roles", "is", ["system", "tool"]]}, "conv_id")
+
+
+@_query("SELECT role AS value, count(DISTINCT conv_id) AS count FROM conversations GROUP BY 1")
+def many_facet(spark, sf_dir):
+    """A document counts once for each of its distinct values."""
+    return Search(_talks(spark, sf_dir), {"query": {"matchall": True}}).facet_counts({"field": "roles"})
+
+
+@_query("SELECT conv_id, CAST(max(turn) AS DOUBLE) AS last FROM conversations GROUP BY 1 ORDER BY min(turn) DESC, conv_id LIMIT 40")
+def many_sort(spark, sf_dir):
+    """The smallest value is the key, in both directions."""
+    request = {"query": {"matchall": True}, "order_by": [{"field": "turns", "ascending": False}], "size": 40}
+    return Search(_talks(spark, sf_dir), request).page().select("conv_id", F.array_max("turns").alias("last"))
+
+
+_ANY_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@_query(f"""
+WITH w AS (SELECT item_id, unnest({_ANY_WORDS}) AS w, unnest(range(1, len({_ANY_WORDS}) + 1)) AS i FROM benchmark)
+SELECT CAST(item_id AS VARCHAR) AS doc_id, w AS term, CAST(count(*) AS INT) AS wdf, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM w GROUP BY 1, 2
+""")
+def index_text_terms(spark, sf_dir):
+    """Terms with frequencies and positions of JSON documents."""
+    body = F.to_json(F.struct(F.col("item_id").alias("id"), "text"))
+    docs = ingest.resolved(_table(spark, sf_dir, "benchmark").select(body.alias("body")))
+    rows = ingest.indexed(docs, "default", default_schema(), ["id", "text"])
+    terms = rows.select("doc_id", F.explode("t_t").alias("t")).select("doc_id", "t.term", "t.wdf", "t.positions")
+    return terms.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+
+
+@_query("""
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN l.doc_id IS NULL THEN '' ELSE 'quality' END AS nonempty, CASE WHEN l.doc_id IS NULL THEN 'quality' ELSE '' END AS empty
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
+def index_presence(spark, sf_dir):
+    """Which fields of JSON documents hold something, and which are null."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("own"), "quality")
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    docs = docs.join(labels, docs.doc_id == labels.own, "left")
+    quality = F.coalesce(F.col("quality").cast("string"), F.lit("null"))
+    found = ingest.resolved(docs.select(F.concat(F.lit('{"id": '), "doc_id", F.lit(', "quality": '), quality, F.lit("}")).alias("body")))
+    schema = default_schema()
+    schema.set("quality", Field.of({"type": "double", "slot": "q"}))
+    rows = ingest.indexed(found, "default", schema, ["id", "quality"])
+    return rows.select("doc_id", F.array_join("meta.N", ",").alias("nonempty"), F.array_join("meta.M", ",").alias("empty"))
+
+
+@_query("""
+SELECT event_id % 7 = 0 AS many, CASE WHEN event_id % 7 = 0 THEN 'several ids' WHEN event_type = 'click' THEN 'the types differ' ELSE '' END AS problem, count(*) AS n FROM events GROUP BY ALL
+""")
+def ingest_problems(spark, sf_dir):
+    """Bodies with several ids, or another type than the request says."""
+    many = F.expr("event_id % 7 = 0").alias("many")
+    body = F.when(many, F.format_string('{"id": [%d, 0], "type": "%s"}', "event_id", "event_type")).otherwise(F.format_string('{"id": %d, "type": "%s"}', "event_id", "event_type"))
+    given = F.when(F.col("event_type") == "click", "other").otherwise(F.col("event_type"))
+    found = ingest.resolved(_table(spark, sf_dir, "events").select(many, body.alias("body"), given.alias("doc_type")))
+    return found.groupBy("many", F.coalesce("_problem", F.lit("")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@_query("""
+SELECT event_id, CASE WHEN event_id % 40 < 31 AND month(ts) BETWEEN 1 AND 12 THEN CAST(year(ts) AS DOUBLE) END AS year,
+  CASE WHEN event_id % 40 < 31 THEN CAST(event_id % 40 + 1 AS INT) END AS day FROM events
+""")
+def date_values(spark, sf_dir):
+    """Dates from text: any day up to 31 in any month; others are errors."""
+    made = F.concat(F.year("ts"), F.lit("-"), F.month("ts"), F.lit("-"), F.expr("event_id % 40 + 1"))
+    v = F.parse_json(F.concat(F.lit('"'), made, F.lit('"')))
+    date = ingest.date_value(v)
+    return _table(spark, sf_dir, "events").select("event_id", date["year"].alias("year"), date["day"].alias("day"))
+
+
+@_query("SELECT page_id, substr(url, 1, 25) AS term FROM pages")
+def truncate_long_term(spark, sf_dir):
+    config = Field.of(_exact("url", max_length=25, too_long_action="truncate"))
+    return _table(spark, sf_dir, "pages").select("page_id", normal_column(config, F.col("url")).alias("term"))
+
+
+@_query(f"SELECT c_custkey, r_name AS ancestor {_NATIONS} UNION ALL SELECT c_custkey, 'WORLD' {_NATIONS}")
+def cat_ancestors(spark, sf_dir):
+    """All documents with the ancestors of their categories."""
+    source, tree = _nations(spark, sf_dir)
+    up = closure(tree.edges(spark))
+    return source.table.join(F.broadcast(up), F.col("n_name") == F.col("category")).select("c_custkey", "ancestor")
+
+
+@_query("""
+SELECT c_custkey FROM customer
+WHERE ((c_custkey * 37 % 360) - 180 >= -20 AND (c_custkey * 37 % 360) - 180 <= 30) AND (c_custkey * 17 % 181) - 90 BETWEEN 10 AND 60
+""")
+def geo_box(spark, sf_dir):
+    """A box across the meridian where longitudes wrap."""
+    table = _table(spark, sf_dir, "customer")
+    place = _places(table, "c_custkey")
+    return table.where(geo.inside(place["lon"], place["lat"], -20, 10, 30, 60)).select("c_custkey")
+
+
+@_query("""
+SELECT c_custkey, round(CASE WHEN abs((c_custkey * 17 % 181) - 90) = 90 THEN 0 ELSE (c_custkey * 37 % 360 + 180) % 360 END, 6)::DOUBLE AS lon, ((c_custkey * 17 % 181) - 90)::DOUBLE AS lat FROM customer
+""")
+def geo_stored(spark, sf_dir):
+    """Coordinates at the stored precision; longitudes from 0 to 360, and 0 at the poles."""
+    table = _table(spark, sf_dir, "customer")
+    place = _places(table, "c_custkey")
+    lon, lat = geo.stored(place["lon"], place["lat"])
+    return table.select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@_query(f"""
+WITH w AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS w FROM benchmark), f AS (SELECT w, count(*) AS n FROM w GROUP BY 1),
+p AS (SELECT a.w AS term1, b.w AS term2, count(*) AS count FROM w a JOIN w b ON a.item_id = b.item_id AND a.w < b.w WHERE a.item_id % 2 = 0 GROUP BY 1, 2)
+SELECT term1, term2, count, x.n AS termfreq1, y.n AS termfreq2 FROM p JOIN f x ON x.w = term1 JOIN f y ON y.w = term2 ORDER BY count DESC, term1, term2 LIMIT 100
+""")
+def info_cooccur_termfreq(spark, sf_dir):
+    even = [str(i) for i in range(0, 400, 2)]
+    search = Search(_benchmark(spark, sf_dir), {"query": {"field": ["item_id", "is", even]}})
+    return search.cooccurrences({"group": "t", "get_termfreqs": True, "result_limit": 100})
+
+
+@_query("SELECT CAST(event_id AS BIGINT) AS id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, value FROM events")
+def connector_export(spark, sf_dir):
+    """A document store's export: whole numbers, doubles and dates in their extended notation."""
+    path = scratch(spark, "export")
+    line = F.format_string(
+        '{"_id": {"$oid": "%s"}, "n": {"$numberLong": "%d"}, "v": {"$numberDouble": "%s"}, "at": {"$date": {"$numberLong": "%d"}}}',
+        F.hex("event_id"), "event_id", F.col("value").cast("string"), F.expr("unix_millis(cast(ts as timestamp))"),
+    )
+    _table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    v = F.parse_json("body")
+    get = lambda p, t: F.try_variant_get(v, p, t)
+    return connectors.store_export(spark, path).select(get("$.n", "long").alias("id"), get("$.at", "long").alias("ms"), get("$.v", "double").alias("value"))
+
+
+@_query("SELECT lang AS label, count(*) AS n FROM documents GROUP BY 1")
+def connector_json_lines(spark, sf_dir):
+    """Documents written as lines of JSON and read back."""
+    path = scratch(spark, "lines")
+    _table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang")).alias("value")).write.text(path)
+    lang = F.try_variant_get(F.parse_json("body"), "$.lang", "string")
+    return connectors.json_lines(spark, path).groupBy(lang.alias("label")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id FROM part WHERE p_size BETWEEN 10 AND 20 AND list_contains(regexp_extract_all(lower(p_name), '[a-z0-9]+'), 'red')")
+def collection_search(spark, sf_dir):
+    """JSON documents put into a collection, committed, and searched."""
+    c = Collection(spark, "parts", scratch(spark, "parts"))
+    body = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name_text"), F.col("p_size").alias("size_num")))
+    c.put_all(_table(spark, sf_dir, "part").select(body.alias("body")))
+    c.commit()
+    query = {"and": [{"field": ["name_text", "text", {"text": "red", "op": "and"}]}, {"field": ["size_num", "range", [10, 20]]}]}
+    return c.search({"query": query}).matches.select("doc_id")
