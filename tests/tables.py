@@ -23,3 +23,11 @@ def duck_rows(con, sql: str) -> tuple[list[str], list[tuple]]:
     order = sorted(range(len(found.columns)), key=lambda i: found.columns[i])
     rows = [tuple(cell(r[i]) for i in order) for r in found.fetchall()]
     return [found.columns[i] for i in order], sorted(rows, key=repr)
+
+
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def same_types(df, found) -> bool:
+    """Whether a table and a DuckDB relation have the same columns of the same types."""
+    return sorted((c, TYPES.get(t, t)) for c, t in df.dtypes) == sorted((c, str(t)) for c, t in zip(found.columns, found.types, strict=True))

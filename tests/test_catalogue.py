@@ -1,14 +1,16 @@
 import pytest
 
 from marlstone.plans import catalogue
-from tests.tables import duck_rows, rows_of
+from tests.tables import duck_rows, rows_of, same_types
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, data, duck, name):
-    assert rows_of(QUERIES[name](spark, data)) == duck_rows(duck, SQL[name])
+    df = QUERIES[name](spark, data)
+    assert rows_of(df) == duck_rows(duck, SQL[name])
+    assert same_types(df, duck.sql(SQL[name]))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
