@@ -198,6 +198,14 @@ class Collection:
         made = send(docs.select("body"), name, self.pipes, self.categorisers)
         self.put_all(made if doc_type is None else made.withColumn("doc_type", F.lit(doc_type)))
 
+    def import_all(self, docs: DataFrame, pipe: str = "default", doc_type: str | None = None) -> str:
+        """Imports ``docs(body, problem)`` of a document store: problems go to the error log, the others
+        through a pipe and into a commit. The id of the checkpoint behind them."""
+        bad = docs.where("problem is not null")
+        self._log(bad.select(F.lit(doc_type).cast("string").alias("doc_type"), F.lit(None).cast("string").alias("doc_id"), F.col("problem").alias("message")))
+        self.pipe_all(docs.where("problem is null"), pipe, doc_type)
+        return self.checkpoint()
+
     def apply(self, commands: DataFrame, batch: int = -1) -> None:
         """Applies ``commands(seq, op, doc_type, doc_id, body)`` in the order of seq and commits. A batch
         that is already in the store is passed over."""

@@ -81,6 +81,15 @@ def test_pipes_and_categorisers(coll, spark):
     assert coll.get("default", "2")["data"] == {"id": ["2"], "lang": ["english"], "text": ["Hello world"]} and coll.categorise("lang", "Hello") == ["english"]
 
 
+def test_imports_of_a_document_store(coll, spark, tmp_path):
+    from marlstone.sources import connectors
+
+    (tmp_path / "e.jsonl").write_text('{"_id": {"$oid": "4f"}, "n": {"$numberLong": "5"}}\n{"r": {"$code": "x"}}\nnonsense\n')
+    coll.put_pipe("default", {"mappings": [{"map": [{"from": "_id", "to": "id"}, {"from": "n", "to": "n_num"}]}]})
+    name = coll.import_all(connectors.store_export(spark, str(tmp_path / "e.jsonl")))
+    assert coll.checkpoints.state(name)["total_errors"] == 2 and coll.get("default", "4f")["data"] == {"id": ["4f"], "n_num": [5]}
+
+
 def test_taxonomy_edits_show_in_queries(coll):
     coll.put_schema("default", {"fields": {"id": {"type": "id"}, "cat": {"type": "cat", "group": "cat", "taxonomy": "Foo"}}})
     t = coll.put_taxonomy("Foo", {"child": ["parent"]})
