@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 
 MARK = "▁"
-#: Units longer than this are swept apart from the others.
-LONG = 44
+#: Units longer than this are swept apart from the others; a lattice holds units of about so many bytes (a
+#: longer unit alone), which bounds its edges and their weights.
+LONG, BYTES = 44, 1 << 18
 
 
 class Vocabulary:
@@ -197,9 +198,12 @@ class Lattice:
 
 
 def grouped(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray):
-    """``(indexes of units, their lattice)``: short units together, long ones together."""
+    """``(indexes of units, their lattice, whether they are long)``: short units together, long ones together."""
     size = np.diff(offsets)
-    for pick in (np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)):
-        if len(pick):
-            sub, at = gather(data, offsets[:-1][pick], size[pick])
-            yield pick, Lattice(voc, sub, at), bool(size[pick[0]] > LONG)
+    for long_, units in ((False, np.flatnonzero(size <= LONG)), (True, np.flatnonzero(size > LONG))):
+        upto = np.cumsum(size[units])
+        cuts = np.searchsorted(upto, np.arange(BYTES, int(upto[-1]) if len(units) else 0, BYTES))
+        for pick in np.split(units, np.unique(cuts)):
+            if len(pick):
+                sub, at = gather(data, offsets[:-1][pick], size[pick])
+                yield pick, Lattice(voc, sub, at), long_

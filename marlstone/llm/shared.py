@@ -60,7 +60,7 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 # ---------------------------------------------------------------- Arrow text buffers
 
 #: Bytes of text that are handled at a time (a single longer text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -114,7 +114,9 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, keep: np.ndarray | None
     if not len(starts):
         return np.zeros(0, U64)
     up, down = _powers(len(data))
-    v = (data.astype(U64) + U64(1)) * up
+    v = data.astype(U64)
+    v += U64(1)
+    v *= up
     if keep is not None:
         v *= keep
     return mix(np.add.reduceat(v, starts) * down[starts])
