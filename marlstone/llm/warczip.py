@@ -36,6 +36,7 @@ from .shared import new_path, small_batches, written
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: A package is closed beyond this many bytes or records; ranges are read together up to SPAN bytes.
 ROLL_BYTES, ROLL_RECORDS, SPAN = 256 << 20, 100_000, 4 << 20
+TASK_BYTES = 32 << 20
 
 
 def opened(uri: str):
@@ -107,12 +108,12 @@ class Package:
         self.index.append(f"{self.size} {len(data)}\n")
         self.size += len(data)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
         self.data.close()
         self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(self.index))
         self.zip.close()
         self.out.close()
-        return self.uri, len(self.index)
+        return self.uri, len(self.index), self.size
 
 
 def directory(read, size: int) -> dict[str, tuple[int, int, int, int]]:
@@ -180,7 +181,8 @@ def _write(folder: str):
                     package = None
         if package is not None:
             done.append(package.close())
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "records"])
+        columns = [pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["path", "records", "bytes"])
 
     return run
 
@@ -230,20 +232,24 @@ def _fetch(columns: list[str]):
 
 
 def packed(pages: DataFrame) -> DataFrame:
-    """Writes the records of ``pages(page_id, url, html)``; ``(path, records)`` of each package."""
+    """Writes the records of ``pages(page_id, url, html)``; ``(path, records, bytes)`` of each package."""
     spark = pages.sparkSession
     small_batches(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("sha1"))
     twice = pages.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
     rows = pages.join(twice, "sha1", "left").select("page_id", "url", "html", "first")
-    return written(rows.mapInArrow(_write(new_path(spark, "warc")), "path string, records long"), "packages")
+    return written(rows.mapInArrow(_write(new_path(spark, "warc")), "path string, records long, bytes long"), "packages")
 
 
 def records(packages: DataFrame, columns: list[str]) -> DataFrame:
-    """The records of ``packages(path)``; columns among page_id, record_type, url, payload,
-    payload_bytes, payload_digest, refers_to."""
-    small_batches(packages.sparkSession)
+    """The records of ``packages(path, bytes)``; columns among page_id, record_type, url, payload,
+    payload_bytes, payload_digest, refers_to. Ranges are dealt by their bytes, so that a task reads about
+    TASK_BYTES, whatever the packages' sizes."""
+    spark = packages.sparkSession
+    small_batches(spark)
     kinds = {"page_id": "long", "payload_bytes": "long", "refers_to": "long", "payload": "binary"}
     places = packages.select("path").mapInArrow(_locate, "path string, at long, length long")
-    places = places.repartition("path", F.expr(f"at div {SPAN}"))
+    total = packages.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    places = places.repartition(tasks, "path", F.expr(f"at div {SPAN}"))
     return places.mapInArrow(_fetch(columns), ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns))
