@@ -15,7 +15,7 @@ import numpy as np
 MARK = "▁"
 #: Units longer than this are swept apart from the others; a lattice holds units of about so many bytes (a
 #: longer unit alone), which bounds its edges and their weights.
-LONG, BYTES = 44, 1 << 18
+LONG, BYTES = 44, 1 << 16
 
 
 class Vocabulary:

@@ -98,7 +98,7 @@ class Units:
 class Ways:
     """For units met one at a time: each place's best score, and the edges to it with what they lose."""
 
-    MOST = 100_000
+    MOST = 8192
 
     def __init__(self, voc: Vocabulary):
         self.voc, self.known = voc, {}
