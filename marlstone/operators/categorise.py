@@ -106,10 +106,11 @@ def profiles(docs: DataFrame, label: str, column: str, longest: int = 5, most: i
 
 
 def distances(samples: DataFrame, targets: DataFrame, most: int = 400) -> DataFrame:
-    """``(label, target, distance)`` between profiles as tables; targets is small (labels x most rows)."""
+    """``(label, target, distance)`` between profiles as tables; targets is a model (labels x most rows),
+    whose labels the driver knows."""
     of = targets.select(F.col("label").alias("target"), F.col("ngram").alias("g"), F.col("rank").alias("r"))
-    labels = of.select("target").distinct()
-    pairs = samples.join(F.broadcast(labels))
+    labels = sorted(r["label"] for r in targets.select("label").distinct().collect())
+    pairs = samples.withColumn("target", F.explode(F.array(*map(F.lit, labels)).cast("array<string>")))
     joined = pairs.join(of, (pairs.ngram == of.g) & (pairs.target == of.target), "left").select(
         pairs.label, pairs.target, F.coalesce(F.abs(pairs["rank"] - F.col("r")), F.lit(most)).alias("cost")
     )
