@@ -75,8 +75,7 @@ _FIELD = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|
 _SHORT = "prof|mlle|mrs|mme|sra|mr|ms|dr|sr"  # may have a full stop
 _TITLED = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\s{{1,2}}|(?P<short>{_SHORT})\.\s{{0,2}})(?P<name>{_WORD}(?:[ \t]{_WORD})?)", re.I)
 _LABELLED = re.compile(rf"(?:(?i:my name is|name\s?[:=]|nombre\s?[:=]|nom\s?[:=]|vorname\s?[:=]))\s{{0,2}}(?P<name>{_WORD}(?:[ \t]{_WORD})?)")
-#: A text without these holds no entity.
-_HINT = r"[@0-9]|(?i:passw|secret|token|api.?key|access.?key|passphrase|auth|pwd|\bmy name is|\b(?:name|nombre|nom|vorname)\s?[:=])|\b(?i:mr|mister|herr|monsieur|sr|señor|don|sir|господин|mrs|ms|miss|frau|madame|mme|mlle|sra|señora|doña|госпожа|dr|prof)\.?\s"
+_DIGIT = re.compile(r"\d")
 
 
 def _luhn(digits: str) -> int:
@@ -103,13 +102,13 @@ def _titled(word: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities as (start, end, type, gender), in the order of the text, none over another."""
     found = []
-    digits = any(c in text for c in "0123456789")
+    digits = _DIGIT.search(text) is not None
     for kind, pattern in _DETECT:
         if ("@" in text) if kind == "email" else digits:
             found += [(m.start(), m.end(), kind, "") for m in pattern.finditer(text)]
     if digits:
         found += [(m.start(), m.end(), "account", "") for m in _ACCOUNT.finditer(text)]
-        found += [(m.start(), m.end(), "credential", "") for m in _KEYID.finditer(text)]
+    found += [(m.start(), m.end(), "credential", "") for m in _KEYID.finditer(text)]
     for m in _FIELD.finditer(text):
         k = next(k for k in (1, 2, 3) if m[k] is not None)
         value = m[k].rstrip(".") if k == 3 else m[k]
@@ -119,7 +118,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         title, words = m["title"] or m["short"], m["name"].split()
         if _titled(title) and all(map(_titled, words[:1])) and not title.isupper():
             name = m["name"] if len(words) == 1 or _titled(words[1]) else words[0]
-            found.append((m.start("name"), m.start("name") + len(name), "name", _TITLES[title.lower()]))
+            found.append((m.start("name"), m.start("name") + len(name), "name", _TITLES.get(title.lower(), "")))
     for m in _LABELLED.finditer(text):
         words = m["name"].split()
         if _titled(words[0]):
@@ -299,22 +298,21 @@ def _replace(key: str, digests: bool):
         made, memo = Surrogates(key), {}
         for batch in batches:
             texts = batch.column("text")
-            hints = pc.fill_null(pc.match_substring_regex(texts, _HINT), False).to_pylist()
             new, spans = [], []
-            for i, hint in enumerate(hints):
-                text = texts[i].as_py() if hint else None
-                out, found = replaced(text, made, memo) if hint else (None, [])
-                new.append(out)
+            for scalar in texts:
+                text = scalar.as_py()
+                out, found = replaced(text, made, memo) if text else (None, [])
+                new.append(out if found else None)
                 if digests:
                     mark = lambda s: hmac.new(made.key, s.encode(), "sha256").hexdigest()[:32]
-                    old = [(k, mark(canonical(k, text[a:b])), memo.get((k, text[a:b], g)) or made.of(k, text[a:b], g)) for a, b, k, g in detect(text)] if hint else []
+                    old = [(k, mark(canonical(k, text[a:b])), memo.get((k, text[a:b], g)) or made.of(k, text[a:b], g)) for a, b, k, g in detect(text)] if found else []
                     found = [(k, o, mark(canonical(k, n))) for k, o, n in old]
                 spans.append(found)
             if digests:
                 rows = [x for s in spans for x in s]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["type", "entity", "surrogate"])
                 continue
-            text = pc.if_else(pa.array(hints, pa.bool_()), pa.array(new, texts.type), texts)
+            text = pc.coalesce(pa.array(new, texts.type), texts)
             entity = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
             found = pa.array([[{"type": k, "start": a, "end": b} for k, a, b in s] for s in spans], pa.list_(entity))
             rest = [(c, batch.column(c)) for c in batch.schema.names if c != "text"]
