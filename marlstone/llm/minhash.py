@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     # they share. A task holds one block of either side.
     main = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("c"))
-    torn = written(placed.join(main.where("c > 1").select("key", "most"), "key"), "torn")
+    # Distinct, since a row that stands there twice would cancel itself in the sets' hashes below.
+    torn = written(placed.join(main.where("c > 1").select("key", "most"), "key").distinct(), "torn")
     sides = torn.select(F.col("most").alias("key"), "node", "component", (F.col("component") != F.col("most")).alias("second")).distinct()
     sizes = sides.groupBy("key").agg(
         F.ceil(F.count_if(~F.col("second")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if("second") / VISITORS).cast("int").alias("visits")

@@ -96,6 +96,24 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in got) == [(-1, -1, True)] * 2 + [(4, 4, True), (5, 4, False), (5, 4, False), (7, 7, True), (7, 7, True)]
 
 
+def test_repeated_rows_in_buckets_of_several_components(spark):
+    """Pairs that meet neither the smallest nor the largest member of their buckets, every row twice."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(8):
+        base = [f"w{i}_{j}" for j in range(200)]
+        for k in range(24):
+            e = base[:]
+            for j in rng.sample(range(10, 190), 5):
+                e[j] = f"x{i}_{k}_{j}"
+            rows.append((100 * i + k + (2000 if k % 2 else 0), " ".join(e)))
+        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join([*base[:-1], f"y{i}"]))]
+    want = brute(rows, 3, 95)
+    assert sum(d != c for d, _, c in want) == 8
+    assert found(spark, rows, 3, 95) == want
+    assert found(spark, rows * 2, 3, 95) == sorted(want * 2)
+
+
 def test_an_empty_table(spark):
     assert found(spark, [], 3, 85) == []
 
