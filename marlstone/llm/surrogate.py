@@ -1,7 +1,9 @@
 """PII replaced by keyed surrogates of the same type, format, script and gender.
 
 Entities: e-mail addresses, phone, card, social security and bank account numbers, IPv4 addresses,
-credentials (cloud key ids, values of password, secret, token or API key fields) and names that follow a title or a "name" label.
+credentials (cloud key ids, values of password, secret, token or API key fields) and names that follow a title or a "name" label,
+with the other mentions of a full name in the same text.
+A surrogate is made from the entity's canonical form and gets the mention's separators and case after it.
 A surrogate is an encryption that keeps the format (a Feistel network over the numbers that fit the
 entity's shape, with cycle walking), so it is a bijection on all entities of a type and shape: the same
 entity gets the same surrogate wherever it stands, and two entities never share one, with no table of
@@ -75,7 +77,10 @@ _FIELD = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|
 _SHORT = "prof|mlle|mrs|mme|sra|mr|ms|dr|sr"  # may have a full stop
 _TITLED = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\s{{1,2}}|(?P<short>{_SHORT})\.\s{{0,2}})(?P<name>{_WORD}(?:[ \t]{_WORD})?)", re.I)
 _LABELLED = re.compile(rf"(?:(?i:my name is|name\s?[:=]|nombre\s?[:=]|nom\s?[:=]|vorname\s?[:=]))\s{{0,2}}(?P<name>{_WORD}(?:[ \t]{_WORD})?)")
+_POSSESSIVE = re.compile(r"(?<=\w\w)['’][sS]?$")
 _DIGIT = re.compile(r"\d")
+#: Country codes of telephone numbers; none begins another.
+_COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 
 
 def _luhn(digits: str) -> int:
@@ -124,6 +129,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if _titled(words[0]):
             name = m["name"] if len(words) == 1 or _titled(words[1]) else words[0]
             found.append((m.start("name"), m.start("name") + len(name), "name", ""))
+    names = [(a, a + len(_POSSESSIVE.sub("", text[a:b])), k, g) for a, b, k, g in found if k == "name"]
+    found = [x for x in found if x[2] != "name"] + names
+    for words in {tuple(canonical("name", text[a:b]).split(" ")) for a, b, _, _ in names}:
+        if len(words) > 1:  # a full name is found without its title, too
+            mentions = re.finditer(rf"(?<!\w){r'\s{1,2}'.join(map(re.escape, words))}(?!\w)", text, re.I)
+            found += [(m.start(), m.end(), "name", "") for m in mentions if all(map(_titled, m[0].split()))]
     rank = {k: i for i, k in enumerate(("credential", "email", "account", "ip", "ssn", "card", "phone", "name"))}
     out, at = [], 0
     for x in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
@@ -176,19 +187,13 @@ class Surrogates:
             out.append(c)
         return "".join(reversed(out))
 
-    def _digits(self, text: str, skip: int, tweak: str) -> str:
-        """The text's digits after the first ``skip`` replaced, whatever stands between them."""
-        digits = [c for c in text if c.isdigit()]
-        new = iter(digits[:skip] + list(self._shape("".join(digits[skip:]), f"{tweak}{''.join(digits[:skip])}")))
-        return "".join(next(new) if c.isdigit() else c for c in text)
-
-    # ---- types
+    # ---- types, from canonical entities to canonical surrogates
 
     def _email(self, s: str) -> str:
         local, _, domain = s.partition("@")
         *labels, top = domain.split(".")
-        kept = [x if x.lower() == "example" else self._shape(x, "label") for x in labels]
-        return f"{self._shape(local, 'local|' + domain.lower())}@{'.'.join([*kept, top])}"
+        kept = [x if x == "example" else self._shape(x, "label") for x in labels]
+        return f"{self._shape(local, 'local|' + domain)}@{'.'.join([*kept, top])}"
 
     def _ip(self, s: str) -> str:
         x = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in s.split("."))))
@@ -199,31 +204,27 @@ class Surrogates:
                 return str(ipaddress.IPv4Address(x))
 
     def _card(self, s: str) -> str:
-        digits = "".join(c for c in s if c.isdigit())
-        body = digits[0] + self._shape(digits[1:-1], f"card{len(digits)}{digits[0]}")
-        last = (int(digits[-1]) - _luhn(digits[:-1]) + _luhn(body)) % 10
-        new = iter(body + str(last))
-        return "".join(next(new) if c.isdigit() else c for c in s)
+        body = s[0] + self._shape(s[1:-1], f"card{len(s)}{s[0]}")
+        return body + str((int(s[-1]) - _luhn(s[:-1]) + _luhn(body)) % 10)
 
     def _phone(self, s: str) -> str:
-        plus = re.match(r"\+(\d{1,3})(?=\D)", s)
-        return self._digits(s, len(plus[1]) if plus else 0, "phone")
+        code = _COUNTRY.match(s)
+        head = code[0] if code else ""
+        return head + self._shape(s[len(head) :], f"phone{head}")
 
     def _ssn(self, s: str) -> str:
-        real = lambda t: t[:3] not in ("000", "666") and t[0] != "9" and t[4:6] != "00" and t[7:] != "0000"
-        t = self._digits(s, 0, "ssn")
+        real = lambda t: t[:3] not in ("000", "666") and t[0] != "9" and t[3:5] != "00" and t[5:] != "0000"
+        t = self._shape(s, "ssn")
         while real(t) != real(s):
-            t = self._digits(t, 0, "ssn")
+            t = self._shape(t, "ssn")
         return t
 
     def _account(self, s: str) -> str:
-        flat = s.replace(" ", "")
         value = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
-        body = self._shape(flat[4:], "account" + flat[:2], lambda c: _CLASSES[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz")
-        shift = int(flat[2:4]) - (98 - value(flat[:2] + "00" + flat[4:]))
-        check = (98 - value(flat[:2] + "00" + body) + shift) % 100
-        new = iter(f"{flat[:2]}{check:02d}{body}")
-        return "".join(c if c == " " else next(new) for c in s)
+        body = self._shape(s[4:], "account" + s[:2], lambda c: _CLASSES[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz")
+        shift = int(s[2:4]) - (98 - value(s[:2] + "00" + s[4:]))
+        check = (98 - value(s[:2] + "00" + body) + shift) % 100
+        return f"{s[:2]}{check:02d}{body}"
 
     def _credential(self, s: str) -> str:
         head = s[:4] if s[:4] in ("AKIA", "ASIA") else ""
@@ -234,40 +235,65 @@ class Surrogates:
             return self._shape(rest, "hex", lambda c: _HEX)
         return self._shape(rest, "credential", lambda c: _CLASSES[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.isascii() and c.isalpha() else _CLASS_OF.get(c))
 
-    def _name(self, s: str, gender: str) -> str:
-        *first, last = s.split(" ") if " " in s else ("", s)
-        known = _GIVEN.get(s.lower()) if " " not in s else None
-        if known:
-            return self._given(s, known)
-        if first == [""]:
-            return self._shape(s, "surname")
-        script = "cyrillic" if re.search("[а-я]", s.lower()) else "latin"
-        given = first[0]
-        at = _GIVEN.get(given.lower())
-        new = self._given(given, at) if at else self._shape(given, f"given{gender}{script}")
-        return f"{new} {self._shape(last, 'surname')}"
-
-    def _given(self, name: str, at: tuple[str, str]) -> str:
-        names = FIRST_NAMES[at]
-        k = next(i for i, n in enumerate(names) if n.lower() == name.lower())
-        new = names[self._once(k, len(names), f"given{at}".encode())]
-        return new.upper() if name.isupper() and len(name) > 1 else new
-
-    def of(self, kind: str, entity: str, gender: str = "") -> str:
-        new = self._name(entity, gender) if kind == "name" else getattr(self, f"_{kind}")(entity)
-        if new.casefold() == entity.casefold():
-            new = f"{kind}-{hmac.new(self.key, canonical(kind, entity).encode(), 'sha256').hexdigest()[:24]}"
-        return new
+    def _name(self, s: str) -> str:
+        *given, last = s.split(" ")
+        script = "cyrillic" if re.search("[а-я]", s) else "latin"
+        return " ".join([self._word(x, f"given{script}") for x in given] + [self._word(last, "surname")])
+
+    def _word(self, word: str, tweak: str) -> str:
+        """A listed name's surrogate comes from its list, any other's stays off the lists."""
+        at = _GIVEN.get(word)
+        if at:
+            names = [n.lower() for n in FIRST_NAMES[at]]
+            return names[self._once(names.index(word), len(names), f"given{at}".encode())]
+        word = self._shape(word, tweak)
+        while word in _GIVEN:
+            word = self._shape(word, tweak)
+        return word
+
+    def of(self, kind: str, entity: str) -> str:
+        plain = canonical(kind, entity)
+        new = getattr(self, f"_{kind}")(plain)
+        if new.casefold() == plain.casefold():
+            return f"{kind}-{hmac.new(self.key, plain.encode(), 'sha256').hexdigest()[:24]}"
+        return _formatted(kind, entity, new)
+
+
+def _formatted(kind: str, entity: str, new: str) -> str:
+    """A canonical surrogate with the separators, the case and the digits' script of the entity."""
+    if kind in ("card", "phone", "ssn"):
+        digits = iter(new.lstrip("+"))
+        return "".join(chr(ord(c) - int(c) + int(next(digits))) if c.isdigit() else c for c in entity)
+    if kind == "account":
+        rest = iter(new)
+        return "".join(c if c == " " else next(rest) for c in entity)
+    if kind == "email":
+        return _cased(entity, new)
+    if kind == "name":
+        words = iter(new.split(" "))
+        return "".join(x if not x or x.isspace() else _cased(x, next(words)) for x in re.split(r"(\s+)", entity))
+    return new
+
+
+def _cased(word: str, new: str) -> str:
+    upper = lambda c: c.upper() if c.upper().lower() == c else c
+    if word.isupper() and len(word) > 1:
+        return "".join(map(upper, new))
+    if len(word) != len(new):
+        return upper(new[:1]) + new[1:] if word[:1].isupper() else new
+    return "".join(upper(c) if w.isupper() else c for w, c in zip(word, new, strict=True))
 
 
 def canonical(kind: str, entity: str) -> str:
     """What makes two mentions the same entity: case and separators don't count."""
     if kind in ("card", "phone", "ssn"):
-        return "".join(c for c in entity if c.isdigit() or c == "+")
+        return "".join(c if c == "+" else str(int(c)) for c in entity if c.isdigit() or c == "+")
     if kind == "account":
         return entity.replace(" ", "")
     if kind == "credential":
         return entity
+    if kind == "name":
+        entity = " ".join(entity.split())
     return unicodedata.normalize("NFC", entity).lower()
 
 
@@ -275,12 +301,12 @@ def replaced(text: str, made: Surrogates, memo: dict | None = None) -> tuple[str
     """The text with surrogates, and (type, start, end) of each in the new text."""
     out, spans, at, size = [], [], 0, 0
     back: dict[tuple[str, str], str] = {}
-    for start, end, kind, gender in detect(text):
+    for start, end, kind, _ in detect(text):
         entity = text[start:end]
-        key = (kind, entity, gender)
+        key = (kind, entity)
         new = memo.get(key) if memo is not None else None
         if new is None:
-            new = made.of(kind, entity, gender)
+            new = made.of(kind, entity)
             if memo is not None and len(memo) < 50_000:
                 memo[key] = new
         if back.setdefault((kind, canonical(kind, new)), canonical(kind, entity)) != canonical(kind, entity):
@@ -305,7 +331,7 @@ def _replace(key: str, digests: bool):
                 new.append(out if found else None)
                 if digests:
                     mark = lambda s: hmac.new(made.key, s.encode(), "sha256").hexdigest()[:32]
-                    old = [(k, mark(canonical(k, text[a:b])), memo.get((k, text[a:b], g)) or made.of(k, text[a:b], g)) for a, b, k, g in detect(text)] if found else []
+                    old = [(k, mark(canonical(k, text[a:b])), memo.get((k, text[a:b])) or made.of(k, text[a:b])) for a, b, k, _ in detect(text)] if found else []
                     found = [(k, o, mark(canonical(k, n))) for k, o, n in old]
                 spans.append(found)
             if digests:

@@ -115,3 +115,28 @@ def test_no_text_is_passed_over(spark):
     assert got == want
     assert [bool(got[i][1]) for i in range(len(texts))] == [i not in (9, 10, 11) for i in range(len(texts))]
     assert all((got[i][0] == t) == (not got[i][1]) for i, t in enumerate(texts))
+
+
+@pytest.mark.parametrize(
+    ("kind", "mentions"),
+    [
+        ("phone", ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567"]),
+        ("phone", ["+49 30 1234567", "+49301234567"]),
+        ("card", ["4111 1111 1111 1111", "4111111111111111", "٤١١١ ١١١١ ١١١١ ١١١١"]),
+        ("name", ["Zed Smith", "ZED SMITH", "Zed\tSmith"]),
+        ("name", ["José Smith", "JOSÉ SMITH"]),
+    ],
+)
+def test_canonical_mentions_share_a_surrogate(kind, mentions):
+    made = Surrogates()
+    new = [made.of(kind, m) for m in mentions]
+    assert len({canonical(kind, m) for m in mentions}) == len({canonical(kind, n) for n in new}) == 1
+    assert canonical(kind, new[0]) != canonical(kind, mentions[0])
+    assert kind != "phone" or all(n.startswith(m[:2]) for m, n in zip(mentions, new, strict=True))
+
+
+def test_titles_and_untitled_mentions_of_one_person():
+    made = Surrogates()
+    text, spans = replaced("Mr. Zed Smith met Dr. Zed Smith's dog. Zed Smith and ZED\nSMITH said so; zed smith is prose", made)
+    assert len({canonical("name", text[a:b]) for _, a, b in spans}) == 1 and len(spans) == 4
+    assert "Zed" not in text and text.endswith("zed smith is prose") and "'s dog" in text
