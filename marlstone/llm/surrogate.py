@@ -196,7 +196,7 @@ class Surrogates:
         return f"{self._shape(local, 'local|' + domain)}@{'.'.join([*kept, top])}"
 
     def _ip(self, s: str) -> str:
-        x = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in s.split("."))))
+        x = int(ipaddress.IPv4Address(s))
         inner = _net(x)
         while True:
             x = self._once(x, 1 << 32, b"ip")
@@ -290,6 +290,8 @@ def canonical(kind: str, entity: str) -> str:
         return "".join(c if c == "+" else str(int(c)) for c in entity if c.isdigit() or c == "+")
     if kind == "account":
         return entity.replace(" ", "")
+    if kind == "ip":
+        return ".".join(str(int(p)) for p in entity.split("."))
     if kind == "credential":
         return entity
     if kind == "name":

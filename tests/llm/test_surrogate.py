@@ -140,3 +140,9 @@ def test_titles_and_untitled_mentions_of_one_person():
     text, spans = replaced("Mr. Zed Smith met Dr. Zed Smith's dog. Zed Smith and ZED\nSMITH said so; zed smith is prose", made)
     assert len({canonical("name", text[a:b]) for _, a, b in spans}) == 1 and len(spans) == 4
     assert "Zed" not in text and text.endswith("zed smith is prose") and "'s dog" in text
+
+
+def test_an_address_with_and_without_leading_zeros_is_one():
+    text, spans = replaced("10.0.0.1 and 10.0.0.01 and 10.0.0.2", Surrogates())
+    found = [text[a:b] for _, a, b in spans]
+    assert found[0] == found[1] != found[2] and canonical("ip", "10.0.0.01") == "10.0.0.1"
