@@ -827,8 +827,10 @@ p AS (SELECT a.w AS term1, b.w AS term2, count(*) AS count FROM w a JOIN w b ON
 SELECT term1, term2, count, x.n AS termfreq1, y.n AS termfreq2 FROM p JOIN f x ON x.w = term1 JOIN f y ON y.w = term2 ORDER BY count DESC, term1, term2 LIMIT 100
 """)
 def info_cooccur_termfreq(spark, sf_dir):
-    even = [str(i) for i in range(0, 400, 2)]
-    search = Search(_benchmark(spark, sf_dir), {"query": {"field": ["item_id", "is", even]}})
+    """Pairs of the items that the SQL takes, all even ones, with term frequencies over all items."""
+    fields = {"item_id": {"type": "id"}, "parity": _exact("parity"), "text": {"type": "text", "group": "t"}}
+    table = _table(spark, sf_dir, "benchmark").withColumn("parity", (F.col("item_id") % 2).cast("string"))
+    search = Search(typed(table, fields, id_column="item_id", pattern=text.ASCII_WORD), {"query": {"field": ["parity", "is", "0"]}})
     return search.cooccurrences({"group": "t", "get_termfreqs": True, "result_limit": 100})
 
 

@@ -42,3 +42,13 @@ def test_stemmed_query_is_by_stems(spark, data):
     want = {text.stem_english("ands"), text.stem_english("others")}
     expected = {r["doc_id"] for r in docs if want & {text.stem_english(w) for w in text.words_of(r["text"], text.ASCII_WORD)}}
     assert {r["doc_id"] for r in QUERIES["text_stemmed"](spark, data).collect()} == expected
+
+
+def test_cooccurrences_take_items_of_any_id(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"alpha w{i % 7} w{i % 5} beta") for i in range(380, 460)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    assert rows_of(QUERIES["info_cooccur_termfreq"](spark, str(tmp_path))) == duck_rows(con, SQL["info_cooccur_termfreq"])
