@@ -230,8 +230,10 @@ def near_vectors(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     known = as_bytes(table, unit=True).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1)), "dim": F.length("v")})
     known = written(known, "units")
     usable = known.where("v is not null and vec_id is not null")
-    same = written(usable.groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "same")
-    heads = usable.join(same, ["h1", "h2", "dim"]).where("vec_id = rep").select("dim", "rep", "n", "v").dropDuplicates(["rep", "dim"])
+    # A group of equal vectors has a number of its own, since one vec_id may stand in several groups.
+    groups = usable.groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    same = written(groups.withColumn("rep", F.monotonically_increasing_id()), "same")
+    heads = usable.join(same, ["h1", "h2", "dim"]).where("vec_id = first").select("dim", "rep", "n", "v").dropDuplicates(["rep"])
     heads = written(heads, "heads")
 
     parts = []
@@ -266,12 +268,14 @@ def near_vectors(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     found = empty
     for p in parts:
         found = found.unionByName(p)
-    label = components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")), "vectors")
+    label = written(components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")), "vectors"), "label")
+    named = label.join(same, label.node == same.rep).groupBy("component").agg(F.min("first").alias("found"))
+    label = label.join(named, "component").select("node", "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reps = (
         same.join(links, "rep", "left")
         .join(label, F.col("rep") == F.col("node"), "left")
-        .select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("found"))
+        .select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("found", "first").alias("found"))
     )
     valid = F.when(F.col("vec_id").isNotNull() & F.col("v").isNotNull(), F.col("h1"))
     return (

@@ -66,3 +66,9 @@ def test_repeated_rows_link(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_vectors(df).collect())
     assert got == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
+
+
+def test_one_id_on_rows_with_different_vectors(spark):
+    v, w = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    near = lambda x: [x[0], x[1], 0.15]
+    check(spark, [(1, v), (1, w), (2, near(v)), (3, near(w)), (4, near(w)), (1, [1.0, 0.1]), (5, [1.0, 0.12])])
