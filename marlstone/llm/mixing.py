@@ -12,8 +12,9 @@ the level, so that reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last one; a source of
 size 0 has target 0; of rows with equal doc_id, source and size, as many get a copy more as their fractions sum
-to, and the rest of that sum is what goes through the meetings; in ``mixed``, rows that share a doc_id get equal
-copies, the most that one of them has; an empty table gives no rows.
+to, and the rest of that sum is what goes through the meetings; in ``mixed``, the copies of such rows go to texts
+in the order of their hashes, and among equal texts to any rows, so that the words taken are those of
+``assigned``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,7 +88,14 @@ def targets(sized: DataFrame) -> DataFrame:
 def assigned(docs: DataFrame) -> DataFrame:
     """For each row of ``docs(doc_id, text, source)``: doc_id, size, source, source_size, target, copies,
     taken."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sized")
+    return _assigned(written(_sized(docs), "sized"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *more)
+
+
+def _assigned(sized: DataFrame) -> DataFrame:
     goal = written(targets(sized), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("groups") / BLOCK)).cast("long"))
@@ -140,7 +148,30 @@ def assigned(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows not taken go."""
-    copies = assigned(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    once = docs.join(copies, docs.doc_id.cast("long").eqNullSafe(copies["doc_id"]))
-    repeated = F.explode(F.sequence(F.lit(1), copies["copies"]))
-    return once.select(*[docs[c] for c in docs.columns], repeated.alias(" copy")).drop(" copy")
+    key = ["doc_id", "source", "hash"]
+    sized = written(_sized(docs, F.xxhash64("text").alias("hash")), "sized")
+    group = ["doc_id", "source", "size"]
+    total = _assigned(sized).groupBy(*group).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    total = total.select(*[F.col(c).alias(f"_{c}") for c in total.columns])
+    texts = sized.groupBy(*group, "hash").agg(F.count("*").alias("n"))
+    texts = texts.join(total, [texts[c].eqNullSafe(total[f"_{c}"]) for c in group])
+    # All rows of a group get base copies, and the first more of them one more.
+    base, more = F.floor(F.col("_copies") / F.col("_rows")), F.col("_copies") % F.col("_rows")
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("hash").rowsBetween(Window.unboundedPreceding, -1))
+    extra = F.least(F.col("n"), F.greatest(F.lit(0), more - F.coalesce(before, F.lit(0))))
+    texts = texts.select(*key, "n", base.alias("base"), extra.alias("extra"))
+    texts = written(texts.select(*[F.col(c).alias(f"_{c}") for c in texts.columns]), "copies")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: plain[f"c{i}"] for i, c in enumerate(docs.columns)}
+    match = at["doc_id"].cast("long").eqNullSafe(texts["_doc_id"]) & at["source"].eqNullSafe(texts["_source"]) & (F.xxhash64(at["text"]) == texts["_hash"])
+
+    def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.withColumn("_copies", copies).where("_copies > 0").select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_i")).drop("_i")
+
+    out = repeated(plain.join(texts.where("_extra in (0, _n)"), match), F.col("_base") + F.when(F.col("_extra") > 0, 1).otherwise(0))
+    some = texts.where("_extra not in (0, _n)")  # equal texts on several rows, of which only some get a copy more
+    if not some.isEmpty():
+        order = Window.partitionBy("_doc_id", "_source", "_hash").orderBy(F.lit(0))
+        torn = plain.join(some, match).withColumn("_at", F.row_number().over(order))
+        out = out.unionByName(repeated(torn, F.col("_base") + (F.col("_at") <= F.col("_extra")).cast("int")))
+    return out.toDF(*docs.columns)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from marlstone.llm import mixing
 
@@ -81,11 +82,10 @@ def test_mixed_repeats_rows_and_keeps_columns(spark):
     n = {}
     for r in out.collect():
         n[r["doc_id"]] = n.get(r["doc_id"], 0) + 1
-    copies = {}
+    copies = Counter()
     for r in mixing.assigned(df).collect():
-        copies[r["doc_id"]] = max(copies.get(r["doc_id"], 0), r["copies"])
-    own = {d: sum(x[0] == d for x in rows) for d, _, _ in rows}
-    assert n == {d: c * own[d] for d, c in copies.items() if c}
+        copies[r["doc_id"]] += r["copies"]
+    assert n == +copies
 
 
 def test_equal_rows_are_many(spark):
@@ -106,3 +106,18 @@ def test_empty_and_wordless_tables(spark):
 def test_the_main_path_is_native(spark):
     plan = mixing.assigned(table(spark, corpus(5, 50)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_mixed_takes_the_words_that_are_assigned_with_repeated_ids(spark):
+    rows = [(1, f"w{i} " * 10, "a") for i in range(9)] + [(2, "same " * 10, "a")] * 7 + [(i, "x " * i, "b") for i in range(3, 30)] + [(None, "n " * 5, "b")] * 5 + [(3, None, None)]
+    df = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, source string, copies long, _n string")
+    want, got = Counter(), Counter()
+    for r in mixing.assigned(df).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    seen = Counter(r["copies"] for r in out.collect())
+    for i, (doc_id, text, source) in enumerate(rows):
+        n = len((text or "").split())
+        got[doc_id, source, n] += n * seen[i]
+    assert +got == +want and max(seen.values()) <= 2
