@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import gather, grouped, load, vocabulary
-from .shared import dropped, small_batches, text_slices, words_of, written
+from .shared import distinct_segments, dropped, small_batches, text_slices, words_at, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE, ROUNDS = 1500, 3
@@ -33,23 +33,14 @@ BYTE = 12.0
 
 def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words with a space before them as flat bytes and offsets; each word's index; counts."""
-    starts, h, counts = words_of(data, offsets)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    ends = _ends(data, offsets, starts)
+    starts, ends, counts = words_at(data, offsets)
+    first, inverse = distinct_segments(data, starts, ends)
     flat, at = gather(data, starts[first] - 1, ends[first] - starts[first] + 1)
     flat = flat.copy()
     flat[at[:-1]] = 0x20
     return flat, at, inverse, counts
 
 
-def _ends(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    from .shared import SPACE
-
-    stop = np.concatenate((np.flatnonzero(SPACE[data]), offsets))
-    stop.sort()
-    return stop[np.searchsorted(stop, starts, side="right")]
-
-
 def _lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
@@ -128,7 +119,6 @@ def fitted(docs: DataFrame, model: str = MODEL, sample: int = SAMPLE) -> tuple[l
     counted = chosen.mapInArrow(_counted(langs), "k int, word binary, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
     row = F.array(*[F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)) for i in range(k)])
     words = written(counted.groupBy("word").agg(row.alias("n")), "words").select("word", F.col("n").cast("array<double>").alias("n"))
-    small_batches(spark, 20000)
     prob = np.full((len(loaded[0]), k), 1.0 / len(loaded[0]))
     for _ in range(ROUNDS):
         rows = (

@@ -8,7 +8,9 @@ change it.
 
 Defined results: a null, empty or blank text has the empty set and links with nothing. Rows that share a
 doc_id are one node. A row whose doc_id is null keeps a null component and is kept. Equal sets are
-collapsed before banding, whatever their number, and each input row gets one output row.
+collapsed before banding, whatever their number, and each input row gets one output row. Shingles are hashed
+twice with independent 64-bit hashes: the first proposes candidates, and links are confirmed on full sets of the
+second; sets count as equal where size and digests of both agree.
 """
 
 from __future__ import annotations
@@ -18,18 +20,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Union, components, mix, shingle_sets, small_batches, text_slices, written
+from .shared import U64, Union, components, dropped, mix, shingle_sets, small_batches, text_slices, written
 
 #: 120 slots in 30 bands of 4: a pair at 0.8 shares no band with probability 1.4e-7, at 0.85 with 2e-10.
 SLOTS, ROWS = 120, 4
-#: Members of a bucket that are compared with each other in one task, and those of other components that
-#: visit its largest one.
-BLOCK, VISITORS = 256, 1024
-#: A pair is set aside without verification if the signatures' estimate is this far (5 deviations) below.
-SLACK = 0.18
+#: The seed of the hash that confirms.
+CONFIRM = 1
+#: A block of a bucket's members that are compared in one task holds about so many documents and so many
+#: shingles (a longer document alone), and so does one of those that visit a bucket's largest component.
+BLOCK, VISITORS, SHINGLES = 256, 1024, 1 << 21
+#: A pair is set aside without verification if the signatures' estimate is this far below the threshold: for
+#: independent slots that befalls a pair at 0.85 with probability 1e-10 and one at 0.8 with 2e-9, and the slots
+#: of SuperMinHash vary less.
+SLACK = 0.24
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -71,13 +77,9 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, independent of order."""
-    if not len(s):
-        return 0, 0
-    a = mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
-    b = mix(s ^ U64(0x14057B7EF767814F)).sum(dtype=U64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def _digest(s: np.ndarray) -> int:
+    """64 bits of a set, independent of order."""
+    return int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64)) if len(s) else 0
 
 
 def _sketch(k: int):
@@ -88,7 +90,8 @@ def _sketch(k: int):
                 sets = shingle_sets(data, offsets, k)
                 sig = signatures(sets)
                 keys = band_keys(sig)
-                dig = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
+                other = shingle_sets(data, offsets, k, CONFIRM)
+                dig = np.array([(_digest(a), _digest(b)) for a, b in zip(sets, other, strict=True)], np.int64).reshape(-1, 2)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 width = keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -110,7 +113,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
-                sets = shingle_sets(data, offsets, k)
+                sets = shingle_sets(data, offsets, k, CONFIRM)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["node", "members"],
@@ -225,7 +228,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     )
     links = written(links, "links")
 
-    label = written(components(links, "cc1"), "label")
+    cc1 = components(links, "cc1")
+    label = written(cc1, "label")
     placed = (
         members.where("n > 2")
         .join(label.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
@@ -238,10 +242,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("c"))
     # Distinct, since a row that stands there twice would cancel itself in the sets' hashes below.
     torn = written(placed.join(main.where("c > 1").select("key", "most"), "key").distinct(), "torn")
-    sides = torn.select(F.col("most").alias("key"), "node", "component", (F.col("component") != F.col("most")).alias("second")).distinct()
-    sizes = sides.groupBy("key").agg(
-        F.ceil(F.count_if(~F.col("second")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if("second") / VISITORS).cast("int").alias("visits")
-    )
+    bulk = heads.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
+    torn, bare = written(torn.join(bulk, "node"), "sized"), torn
+    sides = torn.select(F.col("most").alias("key"), "node", "component", "n_shingles", (F.col("component") != F.col("most")).alias("second")).distinct()
+
+    def parts(of: Column, most: int) -> Column:
+        rows, shingles = F.count_if(of), F.sum(F.when(of, F.col("n_shingles")).otherwise(0))
+        return F.greatest(F.ceil(rows / most), F.ceil(shingles / SHINGLES)).cast("int")
+
+    sizes = sides.groupBy("key").agg(parts(~F.col("second"), BLOCK).alias("homes"), parts(F.col("second"), VISITORS).alias("visits"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sides = sides.join(sizes, "key")
@@ -253,11 +262,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         F.min("component").alias("a"),
         F.max("component").alias("b"),
         F.count("*").alias("n"),
+        parts(F.lit(True), BLOCK).alias("blocks"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64(F.col("node"), F.lit(7))).alias("y"),
     )
-    sets = sets.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    sets = sets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sets = sets.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks")
     own = others.join(sets, "key").select("key", "node", "component", block("blocks").alias("own"), every("blocks").alias("other"))
     second = own.select("key", "node", "component", (F.col("own") > F.col("other")).alias("second"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     mixed = first.withColumn("part", F.lit(1)).unionByName(second.withColumn("part", F.lit(2)))
@@ -268,21 +277,28 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .applyInPandas(_within(percent), "u long, v long")
     )
     more = written(more, "more")
-    label = written(components(links.unionByName(more).unionByName(copies), "cc2"), "label")
+    first_label, cc2 = label, components(links.unionByName(more).unionByName(copies), "cc2")
+    label = written(cc2, "label")
+    for table in (members, star, full, links, cc1, first_label, bare, torn, more, cc2):
+        dropped(table)
     of = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     of = of.join(label, of.doc_id == label.node, "left").select(
         of.doc_id, F.coalesce("component", "rep").alias("found")
     )
-    return (
+    out = (
         sketch.select("doc_id", "n_shingles")
         .join(of, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    out._marlstone_parts = (sketch, same, label)
+    return out
 
 
 def deduplicated(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id."""
-    gone = near_duplicates(docs, words=words, percent=percent).where("not kept").select("doc_id").distinct()
-    gone = written(gone.withColumnRenamed("doc_id", "_gone"), "gone")
+    found = near_duplicates(docs, words=words, percent=percent)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    for table in found._marlstone_parts:
+        dropped(table)
     return docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")

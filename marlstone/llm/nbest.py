@@ -13,7 +13,9 @@ second best. Scores of pieces are whole numbers, so sums are exact.
 
 Defined results: a null text has no segmentation (null ids, no scores, round trip null); an empty text has
 the word mark alone; equal scores come in the order in which the search meets them, which is a function of
-the text alone. Characters outside the vocabulary are spelled in byte pieces, and a literal word mark too,
+the text alone. The model in use was trained for merges, so its scores are ranks of merges: segmentations and
+ids here are the best by summed scores, not those of the model's own encoder, and the two can't be
+interchanged, though both decode to the text. Characters outside the vocabulary are spelled in byte pieces, and a literal word mark too,
 so every text decodes to itself.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .langid import MODEL
 from .lattice import Vocabulary, gather, grouped, load, vocabulary
-from .shared import segment_hashes, small_batches, text_slices
+from .shared import distinct_segments, small_batches, text_slices
 
 NBEST = 4
 
@@ -170,9 +172,8 @@ def segmented(voc: Vocabulary, ways_of: Ways, data: np.ndarray, offsets: np.ndar
     decodes to the text."""
     data, offsets = marked(data, offsets)
     starts = unit_starts(voc, data, offsets)
-    h = segment_hashes(data, starts)
     ends = np.concatenate((starts[1:], [len(data)])) if len(starts) else starts
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    first, inverse = distinct_segments(data, starts, ends)
     flat, at = gather(data, starts[first], (ends - starts)[first])
     units = Units(voc, flat, at)
     size = np.diff(units.at)

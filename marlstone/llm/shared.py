@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,24 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only where the session names none (tests, one machine) is one made."""
+    """The shared folder that the session names. Only where it names none and all work is done on this
+    machine (tests) is one made, once a process; a cluster without one is refused, since each executor would write
+    to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
     return base.rstrip("/") + "/marlstone"
 
 
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="marlstone-")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -47,14 +56,27 @@ def dropped(df: DataFrame) -> None:
     """Removes a table made by ``written`` that no later plan reads."""
     path = getattr(df, "_marlstone_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _removed(df.sparkSession, path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all tables that this session's operators have written, those of results too."""
+    _removed(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the Arrow batches that Python workers get; long texts then stay within memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the Arrow batches that Python workers get; long texts then stay within memory. The session's
+    setting is only ever lowered, so that no operator undoes what another one needs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 # ---------------------------------------------------------------- Arrow text buffers
@@ -84,21 +106,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, None
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, for at least n positions."""
-    if len(_POW.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _POW[name] = np.multiply.accumulate(x, out=x)
-    return _POW["up"][:n], _POW["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> U64(30))
@@ -109,21 +116,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of the bytes from each start to the next one, of those only that ``keep`` marks."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = _powers(len(data))
-    v = data.astype(U64)
-    v += U64(1)
-    v *= up
-    if keep is not None:
-        v *= keep
-    return mix(np.add.reduceat(v, starts) * down[starts])
+#: Segments are hashed in chunks of so many bytes.
+CHUNK = 64
+_TABLES: dict[int, np.ndarray] = {}
+
 
+def _table(seed: int) -> np.ndarray:
+    """A random 64-bit number for each place in a chunk and each byte."""
+    if seed not in _TABLES:
+        at = np.arange(CHUNK * 256, dtype=U64) + U64(((seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        _TABLES[seed] = mix(mix(at) + U64(0xD1342543DE82EF95))
+    return _TABLES[seed]
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(starts, hashes, words of each text)`` of the words ``[^\\x20\\x09-\\x0D]+``."""
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start up to its end; segments hold a byte or more and don't
+    overlap. Tabulation: each byte and its place in a chunk stand for a random number, a chunk's sum is
+    mixed with the chunk's place, and so are the chunks' sums; no arithmetic structure of the bytes is left.
+    Different seeds give independent hashes."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    parts = -(-size // CHUNK)
+    if int(size.max()) > CHUNK:
+        owner = np.repeat(np.arange(len(starts)), parts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        heads = starts[owner] + nth * CHUNK
+        tails = np.minimum(heads + CHUNK, ends[owner])
+    else:
+        nth, heads, tails = 0, starts, ends
+    length = tails - heads
+    upto = np.cumsum(length)
+    first = upto - length
+    place = np.arange(int(upto[-1]), dtype=np.int64) - np.repeat(first, length)
+    byte = data[place + np.repeat(heads, length)]
+    sums = np.add.reduceat(_table(seed)[place * 256 + byte], first)
+    sums = mix(sums + mix(np.asarray(nth + 1, U64).reshape(-1)))  # with and without long neighbours alike
+    if heads is not starts:
+        sums = np.add.reduceat(sums, np.cumsum(parts) - parts)
+    return mix(sums + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def distinct_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first segment of each group of equal ones, and each segment's group. Hashes propose the groups
+    and the bytes decide: where two different segments share a hash, all are told apart by their bytes."""
+    _, first, inverse = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, head = ends - starts, first[inverse]
+    same = np.array_equal(size, size[head])
+    if same and len(starts):
+        other = np.flatnonzero(head != np.arange(len(starts)))
+        length = size[other]
+        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        same = np.array_equal(data[place + np.repeat(starts[other], length)], data[place + np.repeat(starts[head[other]], length)])
+    if not same:
+        known: dict[bytes, int] = {}
+        inverse = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        first = np.unique(inverse, return_index=True)[1]
+    return first, inverse
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, words of each text)`` of the words ``[^\\x20\\x09-\\x0D]+``."""
     inside = ~SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -131,25 +184,32 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begins[firsts] = inside[firsts]
     starts = np.flatnonzero(begins)
     counts = np.diff(np.searchsorted(starts, offsets))
-    return starts, segment_hashes(data, starts, inside), counts
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | begins[1:]
+    return starts, np.flatnonzero(stops) + 1, counts
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, seed: int = 0) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles, A-Z lower-cased; with fewer
-    words, the whole sequence is one; without words the set is empty."""
-    _, h, counts = words_of(LOWER[data], offsets)
+    words, the whole sequence is one; without words the set is empty. Sets of different seeds have
+    nothing in common but the texts."""
+    data = LOWER[data]
+    starts, ends, counts = words_at(data, offsets)
+    h = segment_hashes(data, starts, ends, seed)
     n = len(h)
     rolled = np.zeros(n, U64)
-    coef = mix(np.arange(1, k + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
     for i in range(k):
-        rolled[: max(0, n - i)] += h[i:] * coef[i]
-    rolled = mix(rolled)
+        left = max(0, n - i)
+        rolled[:left] = mix(rolled[:left] * U64(0x2545F4914F6CDD1D) + h[i:])
     out, at = [], 0
     for c in counts.tolist():
         if c >= k:
             out.append(np.unique(rolled[at : at + c - k + 1]))
         elif c:
-            out.append(mix(np.array([(h[at : at + c] * coef[:c]).sum(dtype=U64) + U64(c)], U64)))
+            x = np.array([c], U64)
+            for i in range(c):
+                x = mix(x * U64(0x2545F4914F6CDD1D) + h[at + i])
+            out.append(x)
         else:
             out.append(np.zeros(0, U64))
         at += c
@@ -194,9 +254,11 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         before, seen = seen, state(now)
         if before == seen:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    out._marlstone_path = now._marlstone_path
+    return out
 
 
 class Union:

@@ -172,3 +172,17 @@ def test_screened_keeps_columns_and_drops_wordless_texts(spark):
     assert out.columns == df.columns
     assert sorted(out.select(F.coalesce("doc_id", F.lit(-1))).toPandas().iloc[:, 0]) == [-1, *range(90)]
     assert out.where("doc_id = 3").first() == df.where("doc_id = 3").first()
+
+
+def test_units_and_words_of_colliding_polynomials(spark, voc):
+    """Thue-Morse words and their complements share a polynomial hash modulo 2**64."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    texts = ["".join(p[b] for b in bits[:n]) for n in (1024, 2048, 4096) for p in ("ab", "ba")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    enc = nbest.encoded(df)
+    assert all(r["round_trip"] for r in enc.collect())
+    assert {r["doc_id"]: r["text"] for r in nbest.decode(enc).collect()} == dict(enumerate(texts))
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    assert len(langid.units_of(data, np.array([0, len(data)]))[1]) == len(texts) + 1

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from marlstone.llm import minhash
+from marlstone.llm import minhash, shared
 
 SCHEMA = "doc_id long, text string, doc_id_ string, component_id string, n_shingles string"
 
@@ -133,3 +133,53 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.15 and not sig[2].any()
     many = [abs((lambda s: (s[0] == s[1]).mean())(minhash.signatures([rng.permutation(a[:40]), a[10:50]])) - 0.6) for _ in range(3)]
     assert max(many) < 0.2
+
+
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_words_of_polynomial_hash_collisions_stay_apart(spark, n):
+    rows = [(1, thue_morse(n, "a", "b")), (2, thue_morse(n, "b", "a")), (3, f"{thue_morse(n, 'a', 'b')} x y"), (4, f"{thue_morse(n, 'b', 'a')} x y")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in (1, 2, 3, 4)}
+
+
+def test_segments_with_one_hash_are_told_apart_by_bytes(monkeypatch):
+    data = np.frombuffer(b"ab cd ab cde cd", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 13]), np.array([2, 5, 8, 12, 15])
+    want = [0, 1, 0, 3, 1]
+    first, inverse = shared.distinct_segments(data, starts, ends)
+    assert [int(first[i]) for i in inverse] == want
+    monkeypatch.setattr(shared, "segment_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))
+    first, inverse = shared.distinct_segments(data, starts, ends)
+    assert [int(first[i]) for i in inverse] == want
+
+
+def test_many_long_texts_in_one_bucket(spark, monkeypatch):
+    """Blocks are bounded by shingles, too."""
+    monkeypatch.setattr(minhash, "SHINGLES", 2000)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 10**6, 900)
+    rows = []
+    for i in range(24):
+        words = base.copy()
+        at = rng.choice(900, 12 + 12 * (i % 3), replace=False)
+        words[at] = rng.integers(0, 10**6, len(at))
+        rows.append((i, " ".join(map(str, words))))
+    assert found(spark, rows, 3, 85) == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_a_words_hash_is_that_of_its_bytes_alone(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abé") for _ in range(n)).encode() for n in (1, 5, 63, 64, 65, 128, 129, 5000, 5)]
+    alone = [int(shared.segment_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), seed)[0]) for w in words]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, counts = shared.words_at(data, np.array([0, len(data)]))
+    assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == words and counts.tolist() == [len(words)]
+    assert shared.segment_hashes(data, starts, ends, seed).tolist() == alone and len(set(alone)) == len(set(words))
