@@ -64,3 +64,76 @@ def test_pruning_keeps_diverse_edges():
     norm = np.einsum("ij,ij->i", x, x)
     kept = vamana.pruned(x, norm, np.array([0]), np.array([[1, 2, 3, 4, 4]]), 4, 1.2)[0]
     assert kept.tolist() == [1, 3, -1, -1]
+
+
+def test_recall_of_a_full_shard_with_varied_norms():
+    """20,000 Gaussian vectors, norms from 0.5 to 3, in the norm bands that ``nearest`` deals them into: what all
+    bands' graphs find together, against brute force."""
+    n, k = 20_000, 20
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 64))
+    x *= (rng.uniform(0.5, 3, n) / np.linalg.norm(x, axis=1))[:, None]
+    at = rng.choice(n, 200, replace=False)
+    want = np.argsort(-(x[at] @ x.T), axis=1)[:, :k]
+    single = x / np.linalg.norm(x, axis=1)[:, None]
+    for rows, low in ((x, 0.9), (single, 0.9)):
+        u, size = vamana.directions(rows)
+        band = np.rint(size / np.log(vamana.RATIO))
+        found = [[] for _ in at]
+        for b in np.unique(band):
+            own = np.flatnonzero(band == b)
+            edges, entry = vamana.graph(u[own])
+            for f, near in zip(found, vamana.best(rows[own], rows[at], edges, entry, vamana.WIDE), strict=True):
+                f += own[near[near >= 0]].tolist()
+        want = np.argsort(-(rows[at] @ rows.T), axis=1)[:, :k]
+        hits = [len(set(w) & set(sorted(f, key=lambda i, q=q: -(rows[i] @ rows[q]))[:k])) for q, w, f in zip(at, want.tolist(), found, strict=True)]
+        recall = sum(hits) / (k * len(at))
+        print(f"recall {recall:.3f}")
+        assert recall >= low
+
+
+def test_a_single_graph_of_the_largest_size():
+    """One band alone, as full as it may be: the largest shard that production makes."""
+    n, k = vamana.MOST, 20
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 64))
+    x *= (rng.uniform(1 / vamana.RATIO**0.5, vamana.RATIO**0.5, n) / np.linalg.norm(x, axis=1))[:, None]
+    at = rng.choice(n, 200, replace=False)
+    edges, entry = vamana.graph(vamana.directions(x)[0])
+    near = vamana.best(x, x[at], edges, entry, vamana.WIDE)
+    want = np.argsort(-(x[at] @ x.T), axis=1)[:, :k]
+    hits = [len(set(w) & set(sorted(f, key=lambda i, q=q: -(x[i] @ x[q]))[:k])) for q, w, f in zip(at, want.tolist(), near.tolist(), strict=True)]
+    print(f"recall {sum(hits) / (k * len(at)):.3f}")
+    assert sum(hits) >= 0.9 * k * len(at)
+
+
+def test_routing_loses_nothing(spark, monkeypatch):
+    """Clustered vectors of many norms in many cells: visits are fewer than all, and no neighbour is lost to them."""
+    monkeypatch.setattr(vamana, "LEAST", 40)
+    monkeypatch.setattr(vamana, "MOST", 60)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6, 8))[rng.integers(0, 6, 900)] + 0.05 * rng.normal(size=(900, 8))
+    x *= np.exp(rng.uniform(-2, 2, (900, 1)))
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x.astype(np.float32))]
+    same(found(spark, rows, 5), brute(rows, 5))
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 6)) * np.exp(rng.uniform(-1, 1, (500, 1)))
+    u, size = vamana.directions(x)
+    c = vamana.centres(u, 9)
+    own = (u @ c.T).argmax(axis=1)
+    near = {i: (float((u @ c.T)[own == i, i].min()), float(size[own == i].max())) for i in np.unique(own).tolist()}
+    router = vamana.Router({(48, 0): (0, c)}, near, {i: (i, 1) for i in near})
+    q = rng.normal(size=(40, 6))
+    reach = np.sort(q @ x.T, axis=1)[:, -10]
+    seen = {(i, s) for i, s in router.visits(48, q, None)} | {(i, s) for i, s in router.visits(48, q, reach)}
+    assert all((i, own[j]) in seen for i in range(40) for j in np.flatnonzero(q[i] @ x.T >= reach[i]))
+    assert len(seen) < 40 * len(near)
+
+
+def test_one_id_on_rows_with_different_vectors(spark):
+    got = found(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [1.0, 5.0]), (2, [0.5, 0.5]), (20, [1.0, 1.0])])
+    assert got[0] == [(1, 5.0), (20, 1.0), (2, 0.5)]
+    assert got[20] == [(1, 6.0), (0, 1.0), (2, 1.0)]
