@@ -3,15 +3,22 @@
 On unit vectors, a cosine of at least t is a distance of at most eps = sqrt(2 - 2t). A tree's levels are
 nested nets whose radii halve from level to level; every node knows its covering radius, the distance to
 its farthest descendant. Two nodes can hold a pair only if their centres are no farther apart than eps and
-both radii; all others are pruned with everything below them.
-
-The top of the tree is made on the driver from a bounded sample (``SAMPLE`` vectors): its nodes are cells,
-to which all vectors are then dealt and whose radii are measured on all vectors. Cells that are too large
-are dealt into blocks by hash, each block gets its own lower tree, and each surviving pair of blocks is
-traversed in a task of its own. A task gives back link counts and a spanning forest, never pairs, so a
-large group of near copies costs rows in proportion to its size. Identical vectors are collapsed first.
-Where vectors have no cluster structure nothing can be pruned above single vectors, and the traversal
-compares all blocks with each other: exact joins of such data are quadratic, spread over all tasks.
+both radii, and hold nothing but pairs if centres and radii together stay within eps.
+
+The upper levels are cells: one that is wider than eps, or holds more vectors than a task takes, is split at
+centres from a bounded sample of it, again and again, so that cells grow in number with the table; radii are
+measured on all vectors. Tasks take packs, the largest cells that fit into one. A vector is traversed against
+the cells: it visits the packs of those that a link of it can be in, by their covering radii, and since every
+vector went to the nearest of sibling centres, only of those no more than 2 eps farther than the nearest sibling.
+A pack then joins its own vectors, and those with its visitors from packs of smaller numbers, in blocks, each pair
+of blocks in one task that builds the lower levels of both trees. In a pack that eps covers all are linked, and
+nothing is compared. A task gives back link counts and a spanning forest, never pairs, so a large group of near
+copies costs rows in proportion to its size. Identical vectors are collapsed first.
+
+Only vectors that lie within eps of another pack's cells are sent more than once, so the exchange grows with the
+rows of clustered vectors. Where vectors have no cluster structure nothing can be pruned above single vectors, and
+all blocks meet each other: exact joins of such data are quadratic, spread over all tasks. The centres of at most
+``CELLS`` cells (MEGABYTES of them) are sent to the tasks; beyond that, cells have several blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link; every row is a vector of its own, so repeated rows link with each
@@ -25,10 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Union, components, written
+from .shared import Union, components, dropped, with_groups, written
 from .vectors import as_bytes, matrix
 
-SAMPLE, CELLS, ROWS = 4096, 128, 8192
+#: Vectors of a sample that splits a cell, children of a cell, cells, and levels of cells at most.
+SAMPLE, FAN, CELLS, DEPTH = 1024, 32, 1 << 14, 12
+#: Cells of so few vectors aren't split for being wide.
+FINE = 16
+#: Vectors of a block, at least and at most (fewer of long vectors), and megabytes of a block or of all centres.
+ROWS, MOST, MEGABYTES = 8192, 32768, 64
 #: Radii of the lower trees' nets from the finest up.
 FINEST, SAFE = 0.25, 1e-4
 
@@ -78,16 +90,14 @@ class Tree:
     """One block: unit vectors, their nodes on each level, covering radii."""
 
     def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values("rep")
         self.x = matrix(pdf["v"])
         self.x32 = self.x.astype(np.float32)
         self.rep, self.n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        place = {r: i for i, r in enumerate(self.rep.tolist())}
-        depth = pdf["path"].map(len).max()
-        paths = np.array([[place[r] for r in p] for p in pdf["path"]]).reshape(len(pdf), depth)
-        self.levels = []  # from the coarsest down: nodes, members of each (points at the end)
-        for k in range(depth - 1, -1, -1):
-            node, inverse = np.unique(paths[:, k], return_inverse=True)
-            gap = np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.x, self.x[paths[:, k]]))
+        self.levels = []  # from the coarsest down: nodes, radii, members of each (points at the end)
+        for of in reversed(levels(self.x)):
+            node, inverse = np.unique(of, return_inverse=True)
+            gap = np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.x, self.x[of]))
             radius = np.zeros(len(node))
             np.maximum.at(radius, inverse, np.sqrt(gap))
             self.levels.append((node, radius, inverse))
@@ -112,7 +122,8 @@ def _near(a: Tree, b: Tree, ka: int, kb: int, rows: np.ndarray, cols: np.ndarray
 
 
 def traverse(a: Tree, b: Tree, cosine: float):
-    """``(points of a, points of b, links as a matrix)`` of leaf pairs that may hold links."""
+    """``(points of a, points of b, links as a matrix)`` of leaf pairs that may hold links; None for the matrix
+    where every pair is a link (of a leaf with itself: every pair of different points)."""
     eps = float(np.sqrt(2 - 2 * cosine))
     depth = max(len(a.levels), len(b.levels))
     pairs = None
@@ -132,11 +143,23 @@ def traverse(a: Tree, b: Tree, cosine: float):
                 found.append(np.stack([rows[hit[:, 0]], cols[hit[:, 1]]], axis=1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     pa_, pb_ = a.below(len(a.levels) - 1), b.below(len(b.levels) - 1)
+    (na, ra, _), (nb, rb, _) = a.levels[-1], b.levels[-1]
     same = a is b
     for i, js in _by_first(pairs):
         rows = pa_[i]
-        cols = np.concatenate([pb_[j] for j in js])
-        if same and len(rows) == len(cols) == 1:
+        near = eps - ra[i] - rb[js] - SAFE
+        whole = (near > 0) & (a.x32[na[i]] @ b.x32[nb[js]].T >= 1 - near * near / 2 + 1e-6)
+        if same:
+            whole &= js != i
+            if 2 * ra[i] <= eps - SAFE:
+                whole |= js == i
+        for j in js[whole]:
+            if not (same and i == j and len(rows) == 1):
+                yield rows, pb_[j], None
+        if whole.all():
+            continue
+        cols = np.concatenate([pb_[j] for j in js[~whole]])
+        if same and len(rows) == len(cols) == 1 and rows[0] == cols[0]:
             continue
         for lo in range(0, len(rows), 2048):
             for at in range(0, len(cols), 2048):
@@ -171,14 +194,26 @@ def _lowered(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _joined(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = Tree(pdf[pdf["block"] == pdf["p"]].reset_index(drop=True))
-        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-        right = left if same else Tree(pdf[pdf["block"] == pdf["q"]].reset_index(drop=True))
+        same = pdf["part"].iloc[0] == 0 and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        if not same and pdf["first"].nunique() < 2:  # a block that the hash left empty
+            return pd.DataFrame([], columns=["rep", "links", "low"], dtype="int64")
+        left = Tree(pdf[pdf["first"]])
+        right = left if same else Tree(pdf[~pdf["first"]])
         n = len(left.rep)
         union = Union(n if same else n + len(right.rep))
         shift = 0 if same else n
         links = np.zeros(len(union.up), np.int64)
         for r, c, linked in traverse(left, right, cosine):
+            if linked is None:
+                own = same and np.array_equal(r, c)
+                links[r] += right.n[c].sum() - (left.n[r] if own else 0)
+                if not same:
+                    links[c + shift] += left.n[r].sum()
+                for i in r[1:].tolist():
+                    union.join(i, int(r[0]))
+                for j in c.tolist():
+                    union.join(j + shift, int(r[0]))
+                continue
             links[r] += linked @ right.n[c]
             if not same:
                 links[c + shift] += left.n[r] @ linked
@@ -194,80 +229,200 @@ def _joined(cosine: float):
     return run
 
 
-def _treed(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep").reset_index(drop=True)
-    rep = pdf["rep"].to_numpy()
-    path = np.stack([rep[of] for of in levels(matrix(pdf["v"]))], axis=1)
-    return pdf.assign(path=list(path))
+def _split(fan: int):
+    """A cell's children: centres from its sample, of the finest net (radii halve) with no more than ``fan``; the
+    first points where even the coarsest net has more."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = matrix(pdf.sort_values("rep")["v"])
+        radius, best = 1.0, x[:fan]
+        while radius > 0.01:
+            found, _ = net(x, radius)
+            if len(found) > fan:
+                break
+            best, radius = x[found], radius / 2
+        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "v": [c.tobytes() for c in best]})
+
+    return run
+
+
+class Cells:
+    """The upper levels: each cell's centre, children, covering radius and size. Cell 0 holds all."""
+
+    def __init__(self, dim: int):
+        self.centre, self.children, self.radius, self.size = [np.zeros(dim)], [[]], [2.0], [0]
+
+    def split(self, cell: int, centres: list[np.ndarray]) -> None:
+        self.children[cell] = list(range(len(self.centre), len(self.centre) + len(centres)))
+        for c in centres:
+            self.centre.append(c)
+            self.children.append([])
+            self.radius.append(0.0)
+            self.size.append(0)
+
+    def leaves(self) -> list[int]:
+        return [i for i, c in enumerate(self.children) if not c]
+
+    def packs(self, rows: int) -> np.ndarray:
+        """Each cell's pack: the highest cell above it, or it itself, that holds no more than so many vectors, or
+        that is not split; -1 for the cells above packs."""
+        out = np.full(len(self.centre), -1)
+        for cell in range(len(self.centre)):  # parents have smaller numbers
+            if out[cell] < 0 and (self.size[cell] <= rows or not self.children[cell]):
+                out[cell] = cell
+            if out[cell] >= 0:
+                out[self.children[cell]] = out[cell]
+        return out
+
+    def packed(self) -> list:
+        """For each cell that has children: them, their centres, and their radii."""
+        return [(np.array(c), np.stack([self.centre[i] for i in c]), np.array([self.radius[i] for i in c])) if c else None for c in self.children]
+
+
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * x @ centres.T))
+
+
+def placed(cells: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's leaf, found by the nearest child on every level, and how far its centre is."""
+    at, away = np.zeros(len(x), np.int64), np.zeros(len(x))
+    open_ = np.arange(len(x))
+    while len(open_):
+        left = []
+        for cell in np.unique(at[open_]).tolist():
+            if cells[cell] is None:
+                continue
+            rows = open_[at[open_] == cell]
+            names, centres, _ = cells[cell]
+            gap = _apart(x[rows], centres)
+            pick = gap.argmin(axis=1)
+            at[rows], away[rows] = names[pick], gap[np.arange(len(rows)), pick]
+            left.append(rows)
+        open_ = np.concatenate(left) if left else np.zeros(0, np.int64)
+    return at, away
+
+
+def visited(cells: list, packs: np.ndarray, x: np.ndarray, home: np.ndarray, eps: float):
+    """``(rows, pack)``: packs of larger numbers than a row's own whose cells can hold a link of it; ``packs``
+    names each cell's pack, -1 above packs."""
+    hit: dict[int, np.ndarray] = {}
+    stack = [(0, np.arange(len(x)))]
+    while stack:
+        cell, rows = stack.pop()
+        pack = int(packs[cell])
+        if pack >= 0:
+            seen = hit.setdefault(pack, home >= pack)
+            rows = rows[~seen[rows]]
+            if not len(rows):
+                continue
+            if cells[cell] is None:
+                seen[rows] = True
+                continue
+        names, centres, radius = cells[cell]
+        gap = _apart(x[rows], centres)
+        near = (gap <= radius + eps + SAFE) & (gap <= gap.min(axis=1, keepdims=True) + 2 * eps + SAFE)
+        for k in np.flatnonzero(near.any(axis=0)).tolist():
+            stack.append((int(names[k]), rows[near[:, k]]))
+    for pack, seen in hit.items():
+        rows = np.flatnonzero(seen & (home < pack))
+        if len(rows):
+            yield rows, pack
+
+
+def _place(cells: list):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                cell, away = placed(cells, matrix(pdf["v"]))
+                yield pdf.assign(cell=cell, away=away)
+
+    return run
 
 
-def _celled(centres: np.ndarray):
+def _visit(cells: list, packs: np.ndarray, eps: float):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                cos = matrix(pdf["v"]) @ centres.T
-                cell = cos.argmax(axis=1)
-                gap = np.maximum(0, 2 - 2 * cos[np.arange(len(pdf)), cell])
-                yield pdf.assign(cell=cell.astype(np.int32), away=np.sqrt(gap))
+                for rows, pack in visited(cells, packs, matrix(pdf["v"]), packs[pdf["cell"].to_numpy()], eps):
+                    yield pdf.iloc[rows][["rep", "n", "v"]].assign(pack=pack)
 
     return run
 
 
-def top_cells(sample: np.ndarray, most: int) -> np.ndarray:
-    """Centres of the finest level with at most ``most`` nodes in a tree over the sample."""
-    radius, best = 1.0, sample[:1]
-    while radius > 0.05:
-        centres, _ = net(sample, radius)
-        if len(centres) > most:
+def _grown(own: DataFrame, dim: int, eps: float, rows: int, most: int) -> tuple[Cells, DataFrame]:
+    """Cells that are narrow or small, as far as splitting helps, and the vectors in them."""
+    cells, now = Cells(dim), None
+    for depth in range(DEPTH + 1):
+        then, now = now, written(own.mapInPandas(_place(cells.packed()), "rep long, n long, v binary, cell long, away double"), "placed")
+        if then is not None:
+            dropped(then)
+        for r in now.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+            cells.size[r["cell"]] = r["n"]
+            cells.radius[r["cell"]] = r["radius"] if r["cell"] else 2.0
+        # The radius of a cell that has just been split was measured before, on the same vectors.
+        wide = lambda c: cells.size[c] > FINE and cells.radius[c] > eps
+        large = [c for c in cells.leaves() if wide(c) or (cells.size[c] > rows and 2 * cells.radius[c] > eps - SAFE)]
+        large = sorted(large, key=lambda c: -cells.size[c])[: max(0, most - len(cells.centre)) // FAN]
+        if not large or depth == DEPTH:
+            break
+        share = own.sparkSession.createDataFrame([(c, SAMPLE / cells.size[c]) for c in large], "cell long, share double")
+        draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit(depth)), 11) / float(1 << 53)
+        sample = now.join(F.broadcast(share), "cell").where(draw < F.col("share")).select("cell", "rep", "v")
+        found: dict[int, list] = {}
+        for r in sample.groupBy("cell").applyInPandas(_split(FAN), "cell long, v binary").collect():
+            found.setdefault(r["cell"], []).append(np.frombuffer(r["v"], np.float64))
+        found = {c: v for c, v in found.items() if len(v) > 1}
+        if not found:
             break
-        best, radius = sample[centres], radius / 2
-    return best
+        for c in sorted(found):
+            cells.split(c, found[c])
+    return cells, now
+
+
+def _links(own: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """``(rep, links, low)`` of ``own(rep, n, v)``: parts of link counts, and a vector that it is joined to."""
+    spark = own.sparkSession
+    eps = float(np.sqrt(2 - 2 * cosine))
+    rows = min(max(ROWS, min(MOST, own.count() // 256)), max(256, (MEGABYTES << 18) // (8 * dim)))
+    cells, now = _grown(own, dim, eps, rows, min(CELLS, (MEGABYTES << 20) // (8 * dim)))
+    packed, packs = cells.packed(), cells.packs(rows)
+    visitors = now.mapInPandas(_visit(packed, packs, eps), "rep long, n long, v binary, pack long")
+    coming = {r["pack"]: r["n"] for r in visitors.groupBy("pack").agg(F.count("*").alias("n")).collect()}
+    used = [c for c in sorted(set(packs.tolist())) if c >= 0 and cells.size[c]]
+    plan = [(c, -(-cells.size[c] // rows), -(-coming.get(c, 0) // rows), c > 0 and 2 * cells.radius[c] <= eps - SAFE) for c in used]
+    plan = spark.createDataFrame(plan, "pack long, homes int, visits int, solid boolean")
+    of_leaf = spark.createDataFrame([(c, int(packs[c])) for c in cells.leaves() if cells.size[c]], "cell long, pack long")
+    block = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    home = now.select("rep", "n", "v", "cell").join(F.broadcast(of_leaf.join(plan, "pack")), "cell").drop("cell")
+    columns = ["rep", "n", "v", "pack", "i", "j", "first", "part"]
+    pair = home.where("not solid").withColumn("own", block("homes")).withColumn("other", every("homes"))
+    pair = pair.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "first": F.col("own") <= F.col("other"), "part": F.lit(0)})
+    host = home.where("visits > 0").withColumn("i", block("homes")).withColumn("j", every("visits")).withColumns({"first": F.lit(True), "part": F.lit(1)})
+    guest = visitors.join(F.broadcast(plan), "pack").withColumn("j", block("visits")).withColumn("i", every("homes")).withColumns({"first": F.lit(False), "part": F.lit(1)})
+    met = pair.select(columns).unionByName(host.select(columns)).unionByName(guest.select(columns))
+    out = met.groupBy("part", "pack", "i", "j").applyInPandas(_joined(cosine), "rep long, links long, low long")
+    solid = home.where("solid").select("rep", "n", "pack")
+    whole = solid.groupBy("pack").agg(F.sum("n").alias("all"), F.min("rep").alias("low"))
+    inside = solid.join(F.broadcast(whole), "pack").select("rep", (F.col("all") - F.col("n")).alias("links"), "low")
+    out = written(out.unionByName(inside.where("links > 0")), "joined")
+    dropped(now)
+    return out
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     """For each row of ``table(vec_id, embedding)``: vec_id, n_links, component_id, kept."""
     spark = table.sparkSession
     known = as_bytes(table, unit=True).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1)), "dim": F.length("v")})
-    known = written(known, "units")
-    usable = known.where("v is not null and vec_id is not null")
+    known = written(known.withColumn("h1", F.when(F.col("vec_id").isNotNull() & F.col("v").isNotNull(), F.col("h1"))), "units")
     # A group of equal vectors has a number of its own, since one vec_id may stand in several groups.
-    groups = usable.groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    same = written(groups.withColumn("rep", F.monotonically_increasing_id()), "same")
-    heads = usable.join(same, ["h1", "h2", "dim"]).where("vec_id = first").select("dim", "rep", "n", "v").dropDuplicates(["rep"])
-    heads = written(heads, "heads")
+    groups = known.where("h1 is not null").groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
+    heads = written(groups.withColumn("rep", F.monotonically_increasing_id()), "heads")
+    same = heads.drop("v")
 
-    parts = []
+    found = spark.createDataFrame([], "rep long, links long, low long")
     for dim in [r[0] for r in heads.select("dim").distinct().collect()]:
-        own = heads.where(F.col("dim") == dim).select("rep", "n", "v")
-        total = own.count()
-        sample = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
-        centres = top_cells(matrix(r["v"] for r in sample), min(CELLS, -(-total // ROWS)))
-        celled = written(own.mapInPandas(_celled(centres), "rep long, n long, v binary, cell int, away double"), "celled")
-        cells = {r["cell"]: r for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-        blocks, start = {}, 0
-        for c in sorted(cells):
-            blocks[c] = (start, -(-cells[c]["n"] // ROWS))
-            start += blocks[c][1]
-        eps = np.sqrt(2 - 2 * cosine)
-        gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-        meets = [(a, *blocks[a], [blocks[b] for b in sorted(cells) if gap[a, b] <= eps + cells[a]["radius"] + cells[b]["radius"] + SAFE]) for a in sorted(cells)]
-        plan = spark.createDataFrame(meets, "cell int, first long, parts long, others array<struct<start:long,parts:long>>")
-        placed = celled.join(F.broadcast(plan.select("cell", "first", "parts")), "cell").select(
-            "rep", "n", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")
-        )
-        treed = written(placed.groupBy("block").applyInPandas(_treed, "rep long, n long, v binary, cell int, block long, path array<long>"), "treed")
-        met = (
-            treed.join(F.broadcast(plan.select("cell", "others")), "cell")
-            .withColumn("o", F.explode("others"))
-            .withColumn("other", F.explode(F.sequence(F.col("o.start"), F.col("o.start") + F.col("o.parts") - 1)))
-            .select("rep", "n", "v", "path", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-        )
-        parts.append(written(met.groupBy("p", "q").applyInPandas(_joined(cosine), "rep long, links long, low long"), "joined"))
-
-    empty = spark.createDataFrame([], "rep long, links long, low long")
-    found = empty
-    for p in parts:
-        found = found.unionByName(p)
+        found = found.unionByName(_links(heads.where(F.col("dim") == dim).select("rep", "n", "v"), dim // 8, cosine))
     label = written(components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")), "vectors"), "label")
     named = label.join(same, label.node == same.rep).groupBy("component").agg(F.min("first").alias("found"))
     label = label.join(named, "component").select("node", "found")
@@ -275,12 +430,10 @@ def near_vectors(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     reps = (
         same.join(links, "rep", "left")
         .join(label, F.col("rep") == F.col("node"), "left")
-        .select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("found", "first").alias("found"))
+        .select("h1", "h2", "dim", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("found", "first").alias("found"))
     )
-    valid = F.when(F.col("vec_id").isNotNull() & F.col("v").isNotNull(), F.col("h1"))
     return (
-        known.select("vec_id", valid.alias("h1"), "h2", "dim")
-        .join(reps, ["h1", "h2", "dim"], "left")
+        with_groups(known.select("vec_id", "h1", "h2", "dim"), written(reps, "reps"), ["h1", "h2", "dim"], "n")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("found", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )

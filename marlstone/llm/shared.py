@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,27 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: A group that holds this share of all rows or more is hot; there are at most 1 / HOT of them.
+HOT = 1e-3
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` left-joined to ``groups``, which has one row for each combination of ``keys`` and the number of
+    ``rows`` that hold it. Hot groups, at most a thousand by their definition, are broadcast and their rows
+    never shuffled by key; rows with a null key match nothing and stay where they are. Both tables are read
+    several times: they should be written ones."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = rows.sparkSession.createDataFrame(groups.where(F.col(count) >= max(2, HOT * total)).collect(), groups.schema)
+    light = groups.where(F.col(count) < max(2, HOT * total))
+    more = [f for f in groups.schema if f.name not in keys]
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    names = [*rows.columns, *[f.name for f in more]]
+    whole = rows.where(known)
+    out = whole.join(F.broadcast(hot), keys).select(*names)
+    out = out.unionByName(whole.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(light, keys, "left").select(*names))
+    return out.unionByName(rows.where(~known).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+
+
 # ---------------------------------------------------------------- Arrow text buffers
 
 #: Bytes of text that are handled at a time (a single longer text is handled alone).

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from marlstone.llm import covertree
@@ -50,6 +51,7 @@ def test_equals_all_pairs(spark, noise, cosine):
 
 def test_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(covertree, "ROWS", 40)
+    monkeypatch.setattr(covertree, "MOST", 40)
     x = cloud(5, 400, 8, 0.2)
     check(spark, [(i, [float(a) for a in v]) for i, v in enumerate(x)])
 
@@ -72,3 +74,47 @@ def test_one_id_on_rows_with_different_vectors(spark):
     v, w = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
     near = lambda x: [x[0], x[1], 0.15]
     check(spark, [(1, v), (1, w), (2, near(v)), (3, near(w)), (4, near(w)), (1, [1.0, 0.1]), (5, [1.0, 0.12])])
+
+
+@pytest.mark.parametrize(("cells", "depth", "fan"), [(1, 12, 32), (200, 12, 3), (40, 2, 4)])
+def test_blocks_of_one_cell_and_deep_cells(spark, monkeypatch, cells, depth, fan):
+    """Cells that may not grow have many blocks, some of them empty; cells that may are split again and again."""
+    for name, value in (("ROWS", 6), ("MOST", 6), ("CELLS", cells), ("DEPTH", depth), ("FAN", fan), ("FINE", 2 if depth > 2 else 64)):
+        monkeypatch.setattr(covertree, name, value)
+    x = cloud(8, 120, 5, 0.1)
+    check(spark, [(i, [float(a) for a in v]) for i, v in enumerate(x)])
+
+
+def test_dense_groups_are_counted_whole(spark, monkeypatch):
+    """A third of all vectors within eps of each other, and as many spread about; no pair is lost or counted twice."""
+    monkeypatch.setattr(covertree, "ROWS", 50)
+    monkeypatch.setattr(covertree, "MOST", 50)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=6) + 0.02 * rng.normal(size=(150, 6)), rng.normal(size=(150, 6)), rng.normal(size=6) + 0.12 * rng.normal(size=(100, 6))])
+    check(spark, [(i, [float(a) for a in v]) for i, v in zip(rng.permutation(400).tolist(), x, strict=True)])
+
+
+def test_a_leaf_that_eps_covers_is_not_compared():
+    rng = np.random.default_rng(10)
+    x = np.array([1.0, 2, 3]) + 0.01 * rng.normal(size=(60, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = covertree.Tree(pd.DataFrame({"rep": np.arange(60), "n": 1, "v": [v.tobytes() for v in x]}))
+    assert any(linked is None for _, _, linked in covertree.traverse(tree, tree, 0.95))
+
+
+def test_exchange_grows_with_the_rows_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "ROWS", 200)
+    monkeypatch.setattr(covertree, "MOST", 200)
+    rng, visits = np.random.default_rng(11), []
+    for n in (3000, 15000):
+        centres = rng.normal(size=(n // 50, 16))
+        x = centres[rng.integers(0, len(centres), n)] + 0.05 * rng.normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        own = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "rep long, n long, v binary")
+        eps = float(np.sqrt(0.1))
+        cells, now = covertree._grown(own, 16, eps, 200, covertree.CELLS)
+        packs = cells.packs(200)
+        assert all(cells.size[c] <= 200 or 2 * cells.radius[c] <= eps for c in set(packs.tolist()) - {-1})
+        visits.append(n + now.mapInPandas(covertree._visit(cells.packed(), packs, eps), "rep long, n long, v binary, pack long").count())
+    print("rows sent", visits)
+    assert visits[1] <= visits[0] * 5**1.1
