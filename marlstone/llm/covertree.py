@@ -7,7 +7,7 @@ both radii, and hold nothing but pairs if centres and radii together stay within
 
 The upper levels are cells: one that is wider than eps, or holds more vectors than a task takes, is split at
 centres from a bounded sample of it, again and again, so that cells grow in number with the table; radii are
-measured on all vectors. Tasks take packs, the largest cells that fit into one. A vector is traversed against
+measured on all vectors. Tasks take packs of cells, as many as fit into one. A vector is traversed against
 the cells: it visits the packs of those that a link of it can be in, by their covering radii, and since every
 vector went to the nearest of sibling centres, only of those no more than 2 eps farther than the nearest sibling.
 A pack then joins its own vectors, and those with its visitors from packs of smaller numbers, in blocks, each pair
@@ -263,16 +263,27 @@ class Cells:
     def leaves(self) -> list[int]:
         return [i for i, c in enumerate(self.children) if not c]
 
-    def packs(self, rows: int) -> np.ndarray:
-        """Each cell's pack: the highest cell above it, or it itself, that holds no more than so many vectors, or
-        that is not split; -1 for the cells above packs."""
-        out = np.full(len(self.centre), -1)
-        for cell in range(len(self.centre)):  # parents have smaller numbers
-            if out[cell] < 0 and (self.size[cell] <= rows or not self.children[cell]):
-                out[cell] = cell
-            if out[cell] >= 0:
-                out[self.children[cell]] = out[cell]
-        return out
+    def packs(self, rows: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """Each cell's pack (-1 for those above packs), and the packs' cells: the highest ones that hold no more
+        than so many vectors, or aren't split, neighbours in the tree together as far as they fit."""
+        out, members, open_, room = np.full(len(self.centre), -1), {}, None, 0
+        stack = [0]
+        while stack:
+            cell = stack.pop()
+            if self.size[cell] > rows and self.children[cell]:
+                stack += reversed(self.children[cell])
+                continue
+            if self.size[cell] > room:
+                open_, room = cell, max(0, rows)
+                members[cell] = []
+            members[open_].append(cell)
+            room -= self.size[cell]
+            below = [cell]
+            while below:
+                at = below.pop()
+                out[at] = open_
+                below += self.children[at]
+        return out, members
 
     def packed(self) -> list:
         """For each cell that has children: them, their centres, and their radii."""
@@ -304,7 +315,7 @@ def placed(cells: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def visited(cells: list, packs: np.ndarray, x: np.ndarray, home: np.ndarray, eps: float):
     """``(rows, pack)``: packs of larger numbers than a row's own whose cells can hold a link of it; ``packs``
-    names each cell's pack, -1 above packs."""
+    has each cell's pack, -1 above packs."""
     hit: dict[int, np.ndarray] = {}
     stack = [(0, np.arange(len(x)))]
     while stack:
@@ -385,11 +396,15 @@ def _links(own: DataFrame, dim: int, cosine: float) -> DataFrame:
     eps = float(np.sqrt(2 - 2 * cosine))
     rows = min(max(ROWS, min(MOST, own.count() // 256)), max(256, (MEGABYTES << 18) // (8 * dim)))
     cells, now = _grown(own, dim, eps, rows, min(CELLS, (MEGABYTES << 20) // (8 * dim)))
-    packed, packs = cells.packed(), cells.packs(rows)
+    packed, (packs, members) = cells.packed(), cells.packs(rows)
     visitors = now.mapInPandas(_visit(packed, packs, eps), "rep long, n long, v binary, pack long")
     coming = {r["pack"]: r["n"] for r in visitors.groupBy("pack").agg(F.count("*").alias("n")).collect()}
-    used = [c for c in sorted(set(packs.tolist())) if c >= 0 and cells.size[c]]
-    plan = [(c, -(-cells.size[c] // rows), -(-coming.get(c, 0) // rows), c > 0 and 2 * cells.radius[c] <= eps - SAFE) for c in used]
+    plan = []
+    for pack, own_cells in members.items():
+        size = sum(cells.size[c] for c in own_cells)
+        alone = len(own_cells) == 1 and pack > 0 and 2 * cells.radius[pack] <= eps - SAFE
+        if size:
+            plan.append((pack, -(-size // rows), -(-coming.get(pack, 0) // rows), alone))
     plan = spark.createDataFrame(plan, "pack long, homes int, visits int, solid boolean")
     of_leaf = spark.createDataFrame([(c, int(packs[c])) for c in cells.leaves() if cells.size[c]], "cell long, pack long")
     block = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")

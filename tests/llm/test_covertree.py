@@ -113,8 +113,9 @@ def test_exchange_grows_with_the_rows_of_clustered_vectors(spark, monkeypatch):
         own = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "rep long, n long, v binary")
         eps = float(np.sqrt(0.1))
         cells, now = covertree._grown(own, 16, eps, 200, covertree.CELLS)
-        packs = cells.packs(200)
-        assert all(cells.size[c] <= 200 or 2 * cells.radius[c] <= eps for c in set(packs.tolist()) - {-1})
+        packs, members = cells.packs(200)
+        assert sum(map(len, members.values())) == len(set(c for m in members.values() for c in m))
+        assert all(sum(cells.size[c] for c in m) <= 200 or (len(m) == 1 and 2 * cells.radius[m[0]] <= eps) for m in members.values())
         visits.append(n + now.mapInPandas(covertree._visit(cells.packed(), packs, eps), "rep long, n long, v binary, pack long").count())
     print("rows sent", visits)
     assert visits[1] <= visits[0] * 5**1.1
