@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Union, components, dropped, mix, shingle_sets, small_batches, text_slices, written
+from .shared import U64, Union, components, dropped, mix, shingle_sets, small_batches, text_slices, with_groups, written
 
 #: 120 slots in 30 bands of 4: a pair at 0.8 shares no band with probability 1.4e-7, at 0.85 with 2e-10.
 SLOTS, ROWS = 120, 4
@@ -196,13 +196,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         "sketch",
     )
     usable = sketch.where("doc_id is not null and n_shingles > 0")
-    rep = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    same = written(
-        usable.select("doc_id", "d1", "d2", "n_shingles")
-        .join(rep, ["d1", "d2", "n_shingles"])
-        .select("doc_id", "rep", "n_shingles"),
-        "same",
-    )
+    sets = ["d1", "d2", "n_shingles"]
+    rep = usable.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    same = with_groups(usable.select("doc_id", *sets), rep, sets, "n", "inner").select("doc_id", "rep", "n_shingles")
+    same = written(same, "same")
     # A doc_id on several rows may stand in several groups of equal sets: they are one node.
     copies = same.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
@@ -210,7 +207,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     heads = heads.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "bands")
     members = heads.select("node", F.explode("bands").alias("key"))
     low = members.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(low, "key").select("key", "node", "low", "n"), "members")
+    low = written(low, "buckets")
+    members = written(with_groups(members, low, ["key"], "n", "inner").select("key", "node", "low", "n"), "members")
 
     star = written(members.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "star")
     wanted = members.select("node").distinct()
@@ -239,9 +237,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     # visit that component: each pair of document and component once, whatever the number of buckets that
     # they share. A task holds one block of either side.
     main = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("c"))
+    main = main.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("c"), F.sum("m").alias("all"))
     # Distinct, since a row that stands there twice would cancel itself in the sets' hashes below.
-    torn = written(placed.join(main.where("c > 1").select("key", "most"), "key").distinct(), "torn")
+    placed, main = written(placed, "placed"), main.where("c > 1").select("key", "most", "all")
+    torn = written(with_groups(placed, main, ["key"], "all", "inner").drop("all").distinct(), "torn")
     bulk = heads.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
     torn, bare = written(torn.join(bulk, "node"), "sized"), torn
     sides = torn.select(F.col("most").alias("key"), "node", "component", "n_shingles", (F.col("component") != F.col("most")).alias("second")).distinct()
@@ -250,10 +249,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         rows, shingles = F.count_if(of), F.sum(F.when(of, F.col("n_shingles")).otherwise(0))
         return F.greatest(F.ceil(rows / most), F.ceil(shingles / SHINGLES)).cast("int")
 
-    sizes = sides.groupBy("key").agg(parts(~F.col("second"), BLOCK).alias("homes"), parts(F.col("second"), VISITORS).alias("visits"))
+    sizes = sides.groupBy("key").agg(parts(~F.col("second"), BLOCK).alias("homes"), parts(F.col("second"), VISITORS).alias("visits"), F.count("*").alias("all"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = sides.join(sizes, "key")
+    sides = with_groups(sides, sizes, ["key"], "all", "inner")
     first = sides.where("not second").select("key", "node", "component", "second", block("homes").alias("i"), every("visits").alias("j"))
     first = first.unionByName(sides.where("second").select("key", "node", "component", "second", block("visits").alias("j"), every("homes").alias("i")))
     # Those others meet among themselves, each set of members once.
@@ -266,8 +265,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64(F.col("node"), F.lit(7))).alias("y"),
     )
-    sets = sets.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks")
-    own = others.join(sets, "key").select("key", "node", "component", block("blocks").alias("own"), every("blocks").alias("other"))
+    sets = sets.where("a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks", "n")
+    own = with_groups(others, sets, ["key"], "n", "inner").select("key", "node", "component", block("blocks").alias("own"), every("blocks").alias("other"))
     second = own.select("key", "node", "component", (F.col("own") > F.col("other")).alias("second"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     mixed = first.withColumn("part", F.lit(1)).unionByName(second.withColumn("part", F.lit(2)))
     more = (
@@ -279,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     more = written(more, "more")
     first_label, cc2 = label, components(links.unionByName(more).unionByName(copies), "cc2")
     label = written(cc2, "label")
-    for table in (members, star, full, links, cc1, first_label, bare, torn, more, cc2):
+    for table in (low, members, star, full, links, cc1, first_label, placed, bare, torn, more, cc2):
         dropped(table)
     of = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     of = of.join(label, of.doc_id == label.node, "left").select(

@@ -80,25 +80,31 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
-#: A group that holds this share of all rows or more is hot; there are at most 1 / HOT of them.
-HOT = 1e-3
+#: A group of so many rows, and of this share of all rows, is hot; there are at most 1 / HOT such groups.
+HOT_ROWS, HOT = 1000, 1e-5
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """``rows`` left-joined to ``groups``, which has one row for each combination of ``keys`` and the number of
-    ``rows`` that hold it. Hot groups, at most a thousand by their definition, are broadcast and their rows
-    never shuffled by key; rows with a null key match nothing and stay where they are. Both tables are read
-    several times: they should be written ones."""
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+    """``rows`` joined (``left`` or ``inner``) to ``groups``, which has one row for each combination of ``keys`` and
+    the number of ``rows`` that hold it. Hot groups, at most 100,000 by their definition, are broadcast and their
+    rows never shuffled by key; rows with a null key match nothing and stay where they are. Both tables are
+    read several times: they should be written ones, or narrow projections of such."""
     total = groups.agg(F.sum(count)).first()[0] or 0
-    hot = rows.sparkSession.createDataFrame(groups.where(F.col(count) >= max(2, HOT * total)).collect(), groups.schema)
-    light = groups.where(F.col(count) < max(2, HOT * total))
+    least = max(HOT_ROWS, HOT * total)
+    hot = groups.where(F.col(count) >= least).collect()
     more = [f for f in groups.schema if f.name not in keys]
     known = reduce(and_, [F.col(k).isNotNull() for k in keys])
     names = [*rows.columns, *[f.name for f in more]]
-    whole = rows.where(known)
-    out = whole.join(F.broadcast(hot), keys).select(*names)
-    out = out.unionByName(whole.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(light, keys, "left").select(*names))
-    return out.unionByName(rows.where(~known).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+    if hot:
+        hot = rows.sparkSession.createDataFrame(hot, groups.schema)
+        whole = rows.where(known)
+        out = whole.join(F.broadcast(hot), keys).select(*names)
+        out = out.unionByName(whole.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(count) < least), keys, how).select(*names))
+    else:
+        out = rows.where(known).join(groups, keys, how).select(*names)
+    if how == "left":
+        out = out.unionByName(rows.where(~known).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+    return out
 
 
 # ---------------------------------------------------------------- Arrow text buffers
@@ -247,7 +253,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond"). A step finds each node's smallest neighbour by a pre-aggregated ``groupBy`` and joins
-    it back, so that adaptive execution can split a hub. Only a count and a checksum reach the driver.
+    it back, that of hubs by broadcast. Only a count, a checksum and the hubs reach the driver.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -255,8 +261,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
     def stepped(e: DataFrame) -> DataFrame:
         sym = both(e)
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = sym.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = with_groups(sym, low, ["u"], "n", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -183,3 +183,23 @@ def test_a_words_hash_is_that_of_its_bytes_alone(seed):
     starts, ends, counts = shared.words_at(data, np.array([0, len(data)]))
     assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == words and counts.tolist() == [len(words)]
     assert shared.segment_hashes(data, starts, ends, seed).tolist() == alone and len(set(alone)) == len(set(words))
+
+
+def test_hot_groups_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    rows = [(1, "x")] * 5 + [(2, "y")] * 2 + [(None, "z")] * 4 + [(3, "w")]
+    df = spark.createDataFrame(rows, "k long, v string")
+    groups = df.where("k < 3").groupBy("k").count().withColumnRenamed("count", "n")
+    left = sorted(map(repr, shared.with_groups(df, groups, ["k"], "n").collect()))
+    inner = sorted(map(repr, shared.with_groups(df, groups, ["k"], "n", "inner").collect()))
+    assert left == sorted(map(repr, df.join(groups, "k", "left").select("k", "v", "n").collect()))
+    assert inner == sorted(map(repr, df.join(groups, "k").select("k", "v", "n").collect()))
+
+
+def test_components_with_hot_hubs(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    rows = corpus(5)
+    assert found(spark, rows, 3, 85) == brute(rows, 3, 85)
+    edges = [(0, i) for i in range(1, 40)] + [(i, 100 + i) for i in range(40)] + [(200, 201), (201, 202)]
+    got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {v for n, v in got.items() if n < 200} == {0} and {v for n, v in got.items() if n >= 200} == {200}
