@@ -1,17 +1,21 @@
 """PII replaced by keyed surrogates of the same type, format, script and gender.
 
 Entities: e-mail addresses, phone, card, social security and bank account numbers, IPv4 addresses,
-credentials (cloud key ids, values of password, secret, token or API key fields) and names that follow a title or a "name" label,
+credentials (cloud key ids, values of password, secret, token or API key fields) and names: after a title or a "name" label, or a
+listed first name with a capitalised word behind it,
 with the other mentions of a full name in the same text.
 A surrogate is made from the entity's canonical form and gets the mention's separators and case after it.
-A surrogate is an encryption that keeps the format (a Feistel network over the numbers that fit the
-entity's shape, with cycle walking), so it is a bijection on all entities of a type and shape: the same
-entity gets the same surrogate wherever it stands, and two entities never share one, with no table of
-entities to hold or to shuffle. Letters stay vowels or consonants of their script and case, digits digits;
-an IPv4 address stays public or private, a card or account number as valid as it was; a first name comes
-from names of the same gender and script. The checks after encryption: a surrogate that fails its type's
-test is walked on, one that equals its entity is replaced by a keyed label, and a text whose entities
-do not map one to one raises an error. ``collisions`` audits a whole corpus.
+It is an encryption that keeps the format: a Feistel network numbers all entities of a shape anew, and the one that
+follows in the new order is the surrogate, so each type and shape is permuted in a single cycle. The
+same entity gets the same surrogate wherever it stands, two entities never share one, and none is its own, with
+no table of entities to hold or to shuffle. Letters stay vowels or consonants of their script and case, digits
+digits; an IPv4 address stays public, in its private range, or neither, a card or account number as valid as it was; a
+listed first name comes from names of the same gender and script. A surrogate that fails its type's test is walked on
+along the cycle. Entities of which no character can be replaced (``+@example.com``) get keyed letters or digits
+of their type.
+
+Checks: within a text, a surrogate that another entity of the type already has is walked on until it is free
+(by construction none is; the check makes the result safe, and never fails). ``collisions`` audits a whole corpus.
 
 Defined results: a null text stays null with no entities; a text without entities is returned as it is;
 repeated rows get equal results; other columns are passed on.
@@ -25,6 +29,7 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,13 +60,29 @@ for _alphabet, _vowels in (
     ("abcdefghijklmnopqrstuvwxyz", "aeiou"),
     ("àáâãäåèéêëìíîïòóôõöùúûüýçñßœæø", "àáâãäåèéêëìíîïòóôõöùúûüýœæø"),
     ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "аеиоуыэюя"),
-    ("αβγδεζηθικλμνξοπρστυφχψω", "αεηιουω"),
+    ("ёєії", "ёєії"),
+    ("αβγδεζηθικλμνξοπρσςτυφχψω", "αεηιουω"),
+    ("άέήίόύώϊϋΐΰ", "άέήίόύώϊϋΐΰ"),
 ):
-    _CLASSES += ["".join(c for c in _alphabet if (c in _vowels) == v) for v in (True, False)]
+    _CLASSES += [k for v in (True, False) if (k := "".join(c for c in _alphabet if (c in _vowels) == v))]
 _CLASS_OF = {c: k for k in _CLASSES for c in k}
-_HEX = "0123456789abcdef"
 
-_WORD = r"[^\W\d_][\w'’-]*"
+
+@lru_cache(maxsize=4096)
+def _class_of(c: str) -> str | None:
+    """The characters that may stand for a lower-case one: its class, or for letters of other scripts those of
+    the same kind in the same run of 128 code points."""
+    if c in _CLASS_OF or not c.isalpha():
+        return _CLASS_OF.get(c)
+    kind = unicodedata.category(c)
+    near = (chr(i) for i in range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in near if x not in _CLASS_OF and unicodedata.category(x) == kind and x.lower() == x and unicodedata.normalize("NFC", x) == x) or None
+
+
+_HEX, _LETTERS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+
+#: Combining marks belong to words: a name may be written with them or without.
+_WORD = r"[^\W\d_][\w\u0300-\u036f'’-]*"
 #: What ends a phone number although digits follow a space: an address, a social security or a card number.
 _OTHER = r"(?! (?:(?:\d{1,3}\.){3}\d|\d{3}-\d{2}-\d{4}(?!\d)|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d{5}))"
 _DETECT = [
@@ -77,6 +98,7 @@ _FIELD = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|
 _SHORT = "prof|mlle|mrs|mme|sra|mr|ms|dr|sr"  # may have a full stop
 _TITLED = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\s{{1,2}}|(?P<short>{_SHORT})\.\s{{0,2}})(?P<name>{_WORD}(?:[ \t]{_WORD})?)", re.I)
 _LABELLED = re.compile(rf"(?:(?i:my name is|name\s?[:=]|nombre\s?[:=]|nom\s?[:=]|vorname\s?[:=]))\s{{0,2}}(?P<name>{_WORD}(?:[ \t]{_WORD})?)")
+_LISTED = re.compile(rf"(?<![\w'’-])(?:{'|'.join(sorted((n for names in FIRST_NAMES.values() for n in names), key=len, reverse=True))})[ \t]{_WORD}")
 _POSSESSIVE = re.compile(r"(?<=\w\w)['’][sS]?$")
 _DIGIT = re.compile(r"\d")
 #: Country codes of telephone numbers; none begins another.
@@ -92,9 +114,13 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+#: The private ranges: first address, free bits.
+_PRIVATE = ((10 << 24, 24), (0xAC10 << 16, 20), (0xC0A8 << 16, 16))
+
+
 def _net(x: int) -> int:
-    """0: a public address; 1: one of the three private ranges; 2: any other."""
-    if x >> 24 == 10 or x >> 20 == 0xAC1 or x >> 16 == 0xC0A8:
+    """0: a public address; 1: one of the private ranges; 2: any other."""
+    if any(x >> bits == low >> bits for low, bits in _PRIVATE):
         return 1
     address = ipaddress.IPv4Address(x)
     return 0 if address.is_global and not address.is_multicast else 2
@@ -104,6 +130,13 @@ def _titled(word: str) -> bool:
     return word[:1].isupper()
 
 
+def _name_of(name: str) -> str | None:
+    """What of one or two words is a name: capitalised ones, or those of a script without capitals."""
+    words = name.split()
+    begins = _titled if _titled(words[0]) else (lambda w: unicodedata.category(w[0]) == "Lo")
+    return None if not begins(words[0]) else name if len(words) == 1 or begins(words[1]) else words[0]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities as (start, end, type, gender), in the order of the text, none over another."""
     found = []
@@ -120,21 +153,23 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if k < 3 or any(c.isdigit() for c in value):  # a bare word after a colon is prose
             found.append((m.start(k), m.start(k) + len(value), "credential", ""))
     for m in _TITLED.finditer(text):
-        title, words = m["title"] or m["short"], m["name"].split()
-        if _titled(title) and all(map(_titled, words[:1])) and not title.isupper():
-            name = m["name"] if len(words) == 1 or _titled(words[1]) else words[0]
+        title = m["title"] or m["short"]
+        if _titled(title) and not title.isupper() and (name := _name_of(m["name"])):
             found.append((m.start("name"), m.start("name") + len(name), "name", _TITLES.get(title.lower(), "")))
     for m in _LABELLED.finditer(text):
-        words = m["name"].split()
-        if _titled(words[0]):
-            name = m["name"] if len(words) == 1 or _titled(words[1]) else words[0]
+        if name := _name_of(m["name"]):
             found.append((m.start("name"), m.start("name") + len(name), "name", ""))
     names = [(a, a + len(_POSSESSIVE.sub("", text[a:b])), k, g) for a, b, k, g in found if k == "name"]
     found = [x for x in found if x[2] != "name"] + names
+    for m in _LISTED.finditer(text):  # a listed first name before another name
+        words = m[0].split()
+        if all(map(_titled, words)) and not m[0].isupper():
+            found.append((m.start(), m.start() + len(_POSSESSIVE.sub("", m[0])), "name", ""))
+            names.append(found[-1])
     for words in {tuple(canonical("name", text[a:b]).split(" ")) for a, b, _, _ in names}:
         if len(words) > 1:  # a full name is found without its title, too
             mentions = re.finditer(rf"(?<!\w){r'\s{1,2}'.join(map(re.escape, words))}(?!\w)", text, re.I)
-            found += [(m.start(), m.end(), "name", "") for m in mentions if all(map(_titled, m[0].split()))]
+            found += [(m.start(), m.end(), "name", "") for m in mentions if _name_of(m[0]) == m[0]]
     rank = {k: i for i, k in enumerate(("credential", "email", "account", "ip", "ssn", "card", "phone", "name"))}
     out, at = [], 0
     for x in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
@@ -152,24 +187,35 @@ class Surrogates:
 
     # ---- numbers below a bound
 
-    def _once(self, x: int, bound: int, tweak: bytes) -> int:
+    def _round(self, i: int, tweak: bytes, x: int, size: int) -> int:
+        return int.from_bytes(hashlib.shake_256(self.key + bytes([i]) + tweak + b"\0" + x.to_bytes(size, "big")).digest(size), "big")
+
+    def _order(self, x: int, bound: int, tweak: bytes, back: bool = False) -> int:
+        """The place of x in the keyed order of the numbers below a bound (or what stands there)."""
         half = max(1, ((bound - 1).bit_length() + 1) // 2)
         mask, size = (1 << half) - 1, (half + 7) // 8
         while True:
             left, right = x >> half, x & mask
-            for i in range(8):
-                f = hashlib.shake_256(self.key + bytes([i]) + tweak + b"\0" + right.to_bytes(size, "big")).digest(size)
-                left, right = right, left ^ int.from_bytes(f, "big") & mask
+            if back:
+                for i in reversed(range(8)):
+                    left, right = right ^ self._round(i, tweak, left, size) & mask, left
+            else:
+                for i in range(8):
+                    left, right = right, left ^ self._round(i, tweak, right, size) & mask
             x = left << half | right
             if x < bound:
                 return x
 
+    def _once(self, x: int, bound: int, tweak: bytes) -> int:
+        """What follows x in the keyed order: never x itself where there are two numbers or more."""
+        return self._order((self._order(x, bound, tweak) + 1) % bound, bound, tweak, back=True)
+
     def _shape(self, text: str, tweak: str, classes=None) -> str:
         """The text with each letter or digit of a known class replaced within its class, case kept."""
         lower = text.lower()
         if len(lower) != len(text):
             lower = text
-        pick = classes or (lambda c: _CLASS_OF.get(c))
+        pick = classes or _class_of
         kinds = [pick(c) for c in lower]
         x, bound, shape = 0, 1, []
         for c, k in zip(lower, kinds, strict=True):
@@ -192,11 +238,22 @@ class Surrogates:
     def _email(self, s: str) -> str:
         local, _, domain = s.partition("@")
         *labels, top = domain.split(".")
-        kept = [x if x == "example" else self._shape(x, "label") for x in labels]
-        return f"{self._shape(local, 'local|' + domain)}@{'.'.join([*kept, top])}"
+        return f"{self._shape(local, 'local|' + domain)}@{'.'.join([*map(self._label, labels), top])}"
+
+    def _label(self, label: str) -> str:
+        """Only the reserved name stays, so no other may become it."""
+        new = label
+        while label != "example" and (new == label or new == "example"):
+            new = self._shape(new, "label")
+            if new == label:
+                break
+        return new
 
     def _ip(self, s: str) -> str:
         x = int(ipaddress.IPv4Address(s))
+        for low, bits in _PRIVATE:
+            if x >> bits == low >> bits:
+                return str(ipaddress.IPv4Address(low + self._once(x - low, 1 << bits, b"ip%d" % low)))
         inner = _net(x)
         while True:
             x = self._once(x, 1 << 32, b"ip")
@@ -233,7 +290,7 @@ class Surrogates:
             return head + self._shape(rest, head, lambda c: "abcdefghijklmnopqrstuvwxyz0123456789" if c.isascii() and c.isalnum() else None)
         if all(c in _HEX for c in rest):
             return self._shape(rest, "hex", lambda c: _HEX)
-        return self._shape(rest, "credential", lambda c: _CLASSES[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.isascii() and c.isalpha() else _CLASS_OF.get(c))
+        return self._shape(rest, "credential", lambda c: _CLASSES[0] if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.isascii() and c.isalpha() else _class_of(c))
 
     def _name(self, s: str) -> str:
         *given, last = s.split(" ")
@@ -251,13 +308,23 @@ class Surrogates:
             word = self._shape(word, tweak)
         return word
 
-    def of(self, kind: str, entity: str) -> str:
-        plain = canonical(kind, entity)
-        new = getattr(self, f"_{kind}")(plain)
-        if new.casefold() == plain.casefold():
-            return f"{kind}-{hmac.new(self.key, plain.encode(), 'sha256').hexdigest()[:24]}"
+    def of(self, kind: str, entity: str, steps: int = 1) -> str:
+        """The surrogate; with more steps, what follows it further on."""
+        plain = new = canonical(kind, entity)
+        for _ in range(steps):
+            new = getattr(self, f"_{kind}")(new)
+        if new == plain:
+            new = self._fixed(kind, plain, steps)
         return _formatted(kind, entity, new)
 
+    def _fixed(self, kind: str, plain: str, steps: int) -> str:
+        """For entities without a character that can be replaced: 24 keyed ones of the type."""
+        data = hmac.new(self.key, f"{kind}|{steps}|{plain}".encode(), "sha256").digest()
+        if kind == "credential":
+            return data.hex()[:24]
+        letters = "".join(_LETTERS[b % len(_LETTERS)] for b in data[:24])
+        return f"{letters}@{plain.partition('@')[2]}" if kind == "email" else letters
+
 
 def _formatted(kind: str, entity: str, new: str) -> str:
     """A canonical surrogate with the separators, the case and the digits' script of the entity."""
@@ -311,8 +378,10 @@ def replaced(text: str, made: Surrogates, memo: dict | None = None) -> tuple[str
             new = made.of(kind, entity)
             if memo is not None and len(memo) < 50_000:
                 memo[key] = new
-        if back.setdefault((kind, canonical(kind, new)), canonical(kind, entity)) != canonical(kind, entity):
-            raise ValueError(f"two entities of type {kind} share a surrogate")
+        plain, steps = canonical(kind, entity), 1
+        while back.setdefault((kind, canonical(kind, new)), plain) != plain:
+            steps += 1
+            new = made.of(kind, entity, steps)
         out += [text[at:start], new]
         size += start - at
         spans.append((kind, size, size + len(new)))

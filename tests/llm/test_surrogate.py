@@ -146,3 +146,93 @@ def test_an_address_with_and_without_leading_zeros_is_one():
     text, spans = replaced("10.0.0.1 and 10.0.0.01 and 10.0.0.2", Surrogates())
     found = [text[a:b] for _, a, b in spans]
     assert found[0] == found[1] != found[2] and canonical("ip", "10.0.0.01") == "10.0.0.1"
+
+
+def test_no_entity_is_its_own_surrogate():
+    """Each shape is one cycle, however small: listed names, two letters, one digit that may change."""
+    made = Surrogates()
+    for names in surrogate.FIRST_NAMES.values():
+        new = [made.of("name", n) for n in names]
+        assert sorted(new) == sorted(names) and all(a != b for a, b in zip(new, names, strict=True))
+    for bound in (2, 3, 5, 10, 26, 1000):
+        seen, x = set(), 0
+        while x not in seen:
+            seen.add(x)
+            x = made._once(x, bound, b"t")
+        assert len(seen) == bound and x == 0
+    assert len({made.of("name", a + b) for a in "bcd" for b in "aeiou"}) == 15
+    words = ["王小明", "김철수", "Πέτρος", "محمد", "Олёна", "สมชาย"]
+    assert all(made.of("name", w) != w and len(made.of("name", w)) == len(w) and made.of("name", w).isascii() is False for w in words)
+
+
+def test_what_cannot_be_replaced_gets_letters_of_its_type():
+    made = Surrogates()
+    assert re.fullmatch(r"[a-z]{24}@example\.com", made.of("email", "+@example.com"))
+    assert re.fullmatch("[0-9a-f]{24}", made.of("credential", "****")) and made.of("credential", "****") != made.of("credential", "*****")
+
+
+def test_texts_that_once_failed():
+    made = Surrogates()
+    for text in ("10.0.0.01 10.0.0.1", "Mr. Pu Smith. Ms. Ba Smith.", "Mr. Juan", "Mr. Анна", "Mr. José Peña and Mr. Jose\u0301 Pen\u0303a"):
+        new, spans = replaced(text, made)
+        assert new != text and "name-" not in new
+        plain = [canonical(k, text[a:b]) for a, b, k, _ in detect(text)]
+        found = [canonical(k, new[a:b]) for k, a, b in spans]
+        assert len(set(zip(plain, found, strict=True))) == len(set(plain)) == len(set(found))
+
+
+def test_a_taken_surrogate_is_walked_on(monkeypatch):
+    """By construction two entities share none; where a faulty map would, each text stays one to one."""
+    made = Surrogates()
+    monkeypatch.setattr(Surrogates, "_ssn", lambda self, s: str(int(s[:3]) // 100 + 1) * 9 if s[0] != "7" else s)
+    text, spans = replaced("111-22-3333 then 122-33-4444 then 111-22-3333", made)
+    found = [text[a:b] for _, a, b in spans]
+    assert found[0] == found[2] != found[1]
+
+
+def test_listed_names_before_a_surname():
+    assert entities("Contact John Smith or Anna Kowalska's office; Mark the page") == [("name", "John Smith"), ("name", "Anna Kowalska")]
+    assert entities("Mark the page") == [] and entities("Anna Kowalska's office") == [("name", "Anna Kowalska")]
+    assert entities("Mr. 王小明 spoke") == [("name", "王小明")]
+
+
+def test_one_to_one_over_random_texts():
+    """Independent of ``replaced``: over a corpus of random entities in varied spellings, equal entities (equal digits,
+    equal lower-case letters) get equal surrogates, different ones different ones, of the same type."""
+    import random
+
+    rng, made = random.Random(12), Surrogates()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: rng.choice("bcdfgklmnprst") + rng.choice("aeiou") + "".join(rng.choice("abcdeiou") for _ in range(rng.randrange(3)))
+    plain, keys = {}, {}
+    for _ in range(6000):
+        kind = rng.choice(["phone", "ssn", "ip", "email", "name", "card"])
+        if kind == "phone":
+            d = "1" + digits(2) + "5551" + digits(3)
+            key, forms = d, [f"+{d}", f"+1 {d[1:4]} {d[4:7]} {d[7:]}", f"+1 ({d[1:4]}) {d[4:7]}-{d[7:]}"]
+        elif kind == "ssn":
+            d = f"12{digits(1)}-4{digits(1)}-67{digits(2)}"
+            key, forms = d, [d]
+        elif kind == "ip":
+            p = [rng.choice([8, 10, 192]), rng.choice([168, 3]), rng.randrange(4), rng.randrange(30)]
+            key, forms = tuple(p), [".".join(map(str, p)), ".".join(f"{x:02d}" for x in p)]
+        elif kind == "email":
+            d = f"{word()}@{word()}.com"
+            key, forms = d, [d, d.upper()]
+        elif kind == "name":
+            d = f"{rng.choice([word(), rng.choice(surrogate.FIRST_NAMES['m', 'latin']).lower()])} {word()}"
+            key, forms = d, [d.title(), d.upper()]
+        else:
+            d = "4" + digits(2) + "0" * 10 + digits(3)
+            key, forms = d, [d, " ".join(d[i : i + 4] for i in range(0, 16, 4))]
+        form = rng.choice(forms)
+        new = made.of(kind, form)
+        back = re.sub(r"\D", "", new) if kind in ("phone", "card") else new.lower()
+        assert keys.setdefault((kind, key), back) == back
+        assert plain.setdefault((kind, back), key) == key and back != (key if isinstance(key, str) else ".".join(map(str, key)))
+    assert len(keys) > 2000
+
+
+def test_no_collisions_over_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert surrogate.collisions(docs).count() == 0
