@@ -207,8 +207,8 @@ class Collection:
         return self.checkpoint()
 
     def apply(self, commands: DataFrame, batch: int = -1) -> None:
-        """Applies ``commands(seq, op, doc_type, doc_id, body)`` in the order of seq and commits. A batch
-        that is already in the store is passed over."""
+        """Applies ``commands(seq, op, doc_type, doc_id, body)`` in the order of seq and commits; commands that come
+        after ones of larger numbers don't undo them. A batch that is already in the store is passed over."""
         state = self.store.state()
         if 0 <= batch <= state["batch"]:
             return
@@ -218,9 +218,10 @@ class Collection:
         last = latest(found.where("_problem is null").select("seq", "op", "doc_type", "doc_id", "body"))
         rows = self.process(last.where("op = 'put'"))
         self._log(rows.select("doc_type", "doc_id", F.explode("errors").alias("e")).select("doc_type", "doc_id", F.concat_ws(": ", "e.field", "e.message").alias("message")))
-        gone = last.where("op = 'delete'").select("doc_type", "doc_id")
-        top = found.agg(F.max("seq")).first()[0]
-        self.store.commit(rows.drop("seq"), gone, batch, -1 if top is None else int(top))
+        gone = last.where("op = 'delete'").select("doc_type", "doc_id", F.col("seq").cast("long").alias("seq"))
+        low, top = found.agg(F.min("seq"), F.max("seq")).first()
+        rows = rows.withColumn("seq", F.col("seq").cast("long")) if "seq" in rows.columns else rows
+        self.store.commit(rows, gone, batch, -1 if top is None else int(top), late=low is not None and low <= state["seq"])
         self.store.save_config(self.config())
         self.errors = self.checkpoints.reach(self.store.state()["seq"], self.errors)
         found.unpersist()

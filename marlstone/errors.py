@@ -7,3 +7,7 @@ class InvalidValueError(ValueError):
 
 class UnknownNameError(KeyError):
     """A collection, type, pipe, categoriser, taxonomy or category that doesn't exist."""
+
+
+class QueueFullError(RuntimeError):
+    """The command log takes no more for now."""

@@ -14,12 +14,19 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- words
 
-#: A word: letters, marks and digits, joined by an apostrophe, ampersand or middle dot inside a word and by
-#: separators inside a number; up to three + or # may follow. Java and Python read it alike.
+# Fixed values of the word rules: separators inside a word, inside a number, and characters that count as none.
+_INFIX = "'&\u00b7\u05f4\u2027"
+_DIGIT_INFIX = ",.;\u037e\u0589\u060d\u07f8\u2044\ufe10\ufe13\ufe14"
+_APOSTROPHES = "\u2019\u201b"
+_IGNORED = "\u200b\u200c\u200d\u2060\ufeff"
+
+#: A word: letters, marks and digits, joined by a separator of words or, between two digits, of numbers; up to
+#: three + or # may follow. Java and Python read it alike.
 WORD = (
-    r"(?:\p{Nd}+(?:[,.;…]\p{Nd}+)+|[\p{L}\p{N}\p{M}_]+(?:['’&·״‧][\p{L}\p{N}\p{M}_]+)*)"
-    r"(?:[+#]{1,3}(?![\p{L}\p{N}]))?"
+    r"(?:[\p{L}\p{N}\p{M}_]+(?:(?:(?<=\p{Nd})[" + _DIGIT_INFIX + r"](?=\p{Nd})|(?<!\p{Nd})[" + _INFIX + r"]|[" + _INFIX + r"](?!\p{Nd}))[\p{L}\p{N}\p{M}_]+)*)"
+    r"(?:[+#]{1,3}(?![+#\p{L}\p{N}\p{M}_]))?"
 )
+_FOLD = str.maketrans(_APOSTROPHES, "''", _IGNORED)
 #: For plain Latin columns, where other engines must cut alike.
 ASCII_WORD = "[a-z0-9]+"
 _WORD = regex.compile(WORD)
@@ -27,11 +34,13 @@ _WORD = regex.compile(WORD)
 
 def words(text: Column, pattern: str = WORD) -> Column:
     """The lower-cased words of a text in order; empty for null."""
+    text = F.translate(text, _APOSTROPHES + _IGNORED, "''") if pattern == WORD else text
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def words_of(text: str, pattern: str = WORD, lower: bool = True) -> list[str]:
     """The same on the driver."""
+    text = text.translate(_FOLD) if pattern == WORD else text
     return regex.findall(f"(?:{pattern})", text.lower() if lower else text, flags=0 if lower else regex.IGNORECASE)
 
 
@@ -201,7 +210,7 @@ _TERM = T.ArrayType(
 def _terms(values, cjk: bool) -> list[dict]:
     found: dict[str, list[int]] = {}
     for v in values if values is not None else []:
-        pairs = cjk_words(v) if cjk else [(w, i) for i, w in enumerate(_WORD.findall(v.lower()), 1)]
+        pairs = cjk_words(v) if cjk else [(w, i) for i, w in enumerate(_WORD.findall(v.translate(_FOLD).lower()), 1)]
         for term, pos in pairs:
             found.setdefault(term, []).append(pos)
     return [{"term": t, "wdf": len(p), "positions": sorted(set(p))} for t, p in sorted(found.items(), key=lambda x: x[0].encode())]

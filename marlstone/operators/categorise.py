@@ -102,7 +102,9 @@ def profiles(docs: DataFrame, label: str, column: str, longest: int = 5, most: i
     """``(label, ngram, n, rank)``: each label's profile as a table; ranks start at 0."""
     by = Window.partitionBy("label").orderBy(F.desc("n"), F.asc("ngram"))
     counts = ngram_rows(docs, label, column, longest, pattern)
-    return counts.withColumn("rank", (F.row_number().over(by) - 1).cast("int")).where(F.col("rank") < most)
+    # The limit stands on row_number itself, so that each task keeps only the first rows of its part of a label.
+    first = counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    return first.withColumn("rank", (F.col("rank") - 1).cast("int"))
 
 
 def distances(samples: DataFrame, targets: DataFrame, most: int = 400) -> DataFrame:

@@ -177,6 +177,8 @@ class Pipe:
 
     @staticmethod
     def of(config: dict) -> Pipe:
+        if not isinstance(config, dict):
+            raise InvalidValueError("a pipe is an object")
         return Pipe([Mapping.of(m) for m in config.get("mappings", [])], bool(config.get("apply_all", False)), config.get("target", ""))
 
     def to_json(self) -> dict:

@@ -31,6 +31,10 @@ def valid_name(name: str) -> str:
     return name
 
 
+#: Processors that stem: English is the only language whose stems are made here; others are refused, not stemmed as English.
+STEMMERS = ("stem_en", "stem_english")
+
+
 @dataclass(frozen=True)
 class Field:
     """One field's configuration."""
@@ -62,7 +66,7 @@ class Field:
                 raise InvalidValueError("max_length must be from 1 to 240")
             if name == "too_long_action" and value not in ("error", "hash", "truncate"):
                 raise InvalidValueError(f"unknown too_long_action: {value!r}")
-            if name == "processor" and not (value in ("", "cjk") or value.startswith("stem_")):
+            if name == "processor" and not (value in ("", "cjk") or value in STEMMERS):
                 raise InvalidValueError(f"unknown processor: {value!r}")
             values[name] = value
         return Field(**values)

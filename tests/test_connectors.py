@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.errors import InvalidValueError
 from marlstone.sources import connectors
-from marlstone.sources.store import latest, upserted
+from marlstone.sources.store import Store, latest, upserted
 
 
 def test_json_files_and_lines(spark, tmp_path):
@@ -80,3 +80,57 @@ def test_versions_of_a_store(spark, tmp_path):
     assert (store.state()["batch"], store.state()["seq"]) == (0, 5)
     store.commit(rows())
     assert len(seen()) == 42 and sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == ["base-4", "delta-5"]
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_type string, doc_id string, v long")
+    seen = lambda: sorted((r["doc_id"], r["v"]) for r in store.table().collect())
+    store.commit(rows(("1", "a", 1), ("1", "b", 2)))
+    before, state = seen(), store.state()
+
+    class Died(Exception):
+        pass
+
+    def die(*args, **kwargs):
+        raise Died
+
+    for step in ("write_text", "_write"):
+        with monkeypatch.context() as m:
+            m.setattr(store, step, die)
+            with pytest.raises(Died):
+                store.commit(rows(("1", "a", 9)))
+        assert seen() == before and store.state() == state
+    side = store._file
+    fs, _ = side("")
+    stream = fs.create(side("_pointer.json.2-abc")[1], False)  # a file that was never renamed into place
+    stream.write(bytearray(b"half"))
+    stream.close()
+    assert seen() == before and store.state() == state
+    store.commit(rows(("1", "a", 3)))
+    assert seen() == [("a", 3), ("b", 2)] and store.state()["version"] == 2
+
+
+def test_deltas_are_appended_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("marlstone.sources.store.DELTAS", 3)
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_type string, doc_id string, v long")
+    store.commit(rows(*[("1", str(i), i) for i in range(200)]))
+    want = {str(i): i for i in range(200)}
+    for k in range(5):
+        store.commit(rows(("1", str(k), -k), ("1", "7", 100 + k)), rows(("1", str(50 + k), 0)))
+        want |= {str(k): -k, "7": 100 + k}
+        del want[str(50 + k)]
+        assert {r["doc_id"]: r["v"] for r in store.table().collect()} == want
+        assert all(p["rows"] <= 3 for p in [*store.state()["older"], store.state()["delta"]] if p)
+    assert store.state()["base"]["name"] == "base-5"
+
+
+def test_older_commands_never_win(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_type string, doc_id string, v long, seq long")
+    store.commit(rows(("1", "a", 1, 10), ("1", "b", 2, 11), *[("1", f"x{i}", 0, 1) for i in range(60)]), seq=11)
+    store.commit(rows(), rows(("1", "b", 0, 20)), seq=20)
+    store.commit(rows(("1", "a", 3, 5), ("1", "b", 4, 15), ("1", "c", 5, 6)), rows(("1", "x1", 0, 0)), seq=15, late=True)
+    found = {r["doc_id"]: r["v"] for r in store.table().collect() if r["v"]}
+    assert found == {"a": 1, "c": 5} and store.table().count() == 62 and store.state()["seq"] == 20 and "_seq" not in store.table().columns

@@ -40,3 +40,15 @@ def test_names():
     for bad in ("", "a/b", "a.b", "a,b", "a[b", "a\\b", "a:b", "a{", "a\x01"):
         with pytest.raises(InvalidValueError):
             valid_name(bad)
+
+
+def test_unknown_stemmers_are_refused():
+    import pytest
+
+    from marlstone.errors import InvalidValueError
+    from marlstone.plans.schema import Field
+
+    assert Field.of({"type": "text", "group": "t", "processor": "stem_english"}).processor == "stem_english"
+    for processor in ("stem_fr", "stem_", "stemmer"):
+        with pytest.raises(InvalidValueError):
+            Field.of({"type": "text", "group": "t", "processor": processor})

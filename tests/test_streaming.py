@@ -36,3 +36,55 @@ def test_a_restarted_stream_goes_on(spark, tmp_path):
         log.append(spark.createDataFrame([(seq, "put", "t", str(seq), "{}")], SCHEMA))
         log.start().awaitTermination()
     assert log.collection.info()["doc_count"] == 2 and log.reached(1)["reached"]
+
+
+def test_late_commands_of_later_batches_do_not_win(spark, tmp_path):
+    log = _log(spark, tmp_path)
+    put = lambda seq, key, n: (seq, "put", "t", key, f'{{"n_num": {n}}}')
+    log.append(spark.createDataFrame([put(10, "a", 10), (11, "delete", "t", "b", "{}"), put(12, "z", 0)], SCHEMA).coalesce(1))
+    log.start().awaitTermination()
+    log.append(spark.createDataFrame([put(3, "a", 3), put(4, "b", 4), put(5, "c", 5)], SCHEMA).coalesce(1))
+    log.start().awaitTermination()
+    assert {r["doc_id"]: r["f_nn"] for r in log.collection.source().table.collect()} == {"a": [10.0], "z": [0.0], "c": [5.0]}
+    assert log.collection.store.state()["seq"] == 12
+
+
+def test_barriers_stand_in_the_log(spark, tmp_path):
+    log = _log(spark, tmp_path)
+    rows = [
+        (0, "put", "t", "a", '{"w": "1"}'),
+        (1, "schema", "t", None, '{"fields": {"v": {"type": "double", "slot": "v"}}}'),
+        (2, "put", "t", "b", '{"v": 2}'),
+        (3, "taxonomy", None, "tax", '{"child": ["parent"]}'),
+        (4, "checkpoint", None, "here", None),
+        (5, "pipe", None, "bad", "[]"),
+        (6, "put", "t", "c", '{"v": "no number"}'),
+        (7, "nonsense", None, None, None),
+        (8, "checkpoint", None, "there", None),
+    ]
+    log.append(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    log.start().awaitTermination()
+    c = log.collection
+    assert c.info()["doc_count"] == 3 and c.taxonomy("tax").parents["child"] == {"parent"}
+    assert c.schema("t").fields["v"].type == "double" and c.store.state()["seq"] == 8
+    here, there = c.checkpoints.state("here"), c.checkpoints.state("there")
+    assert here["reached"] and there["reached"] and there["total_errors"] >= 2
+    assert log.status() == {"waiting": 0, "space": "HAS_SPACE"}
+
+
+def test_a_full_log_refuses_more(spark, tmp_path):
+    import pytest
+
+    from marlstone.errors import QueueFullError
+
+    log = CommandLog(spark, Collection(spark, "c", f"file://{tmp_path}/c"), f"file://{tmp_path}/log", low=2, full=3)
+    one = lambda seq: spark.createDataFrame([(seq, "put", "t", str(seq), "{}")], SCHEMA)
+    spaces = [log.status()["space"]]
+    for seq in range(3):
+        log.append(one(seq), unless_full=True)
+        spaces.append(log.status()["space"])
+    assert spaces == ["HAS_SPACE", "HAS_SPACE", "LOW_SPACE", "FULL"]
+    with pytest.raises(QueueFullError):
+        log.append(one(4), unless_full=True)
+    log.start().awaitTermination()
+    assert log.status() == {"waiting": 0, "space": "HAS_SPACE"}

@@ -60,3 +60,14 @@ def test_hashed_terms(spark):
 def test_hexed_and_truth():
     assert text.hexed("a\tb\\") == "a\\x09b\\x5c"
     assert [text.truth(x) for x in ("1", "True", "yes", "on", "0", "", None)] == [True] * 4 + [False] * 3
+
+
+def test_word_rules(spark):
+    """Separators of words and of numbers, characters that count as none, suffixes."""
+    cases = {
+        "l\u2019eau Q\u201bx": ["l'eau", "q'x"], "a\u200bb c\ufeffd e\u2060f": ["ab", "cd", "ef"], "1\u20442 3\u05894 5\ufe106 7;8 9\u037e1": ["1\u20442", "3\u05894", "5\ufe106", "7;8", "9\u037e1"],
+        "1'000 a1.5b 2.b": ["1", "000", "a1.5b", "2", "b"], "c++ c++++ fish+chips fish++chips f# x#": ["c++", "c", "fish", "chips", "fish", "chips", "f#", "x#"], "wait\u2026 3\u20264": ["wait", "3", "4"], "a\u00b7b a.b": ["a\u00b7b", "a", "b"],
+    }
+    assert {s: text.words_of(s) for s in cases} == cases
+    df = spark.createDataFrame([(s,) for s in cases], "t string").select("t", text.words(F.col("t")).alias("w"))
+    assert {r["t"]: r["w"] for r in df.collect()} == cases
