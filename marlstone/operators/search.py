@@ -222,10 +222,17 @@ class Search:
         """``(term, count[, termfreq])``: in how many results each term stands, and in how many documents
         of the collection."""
         terms = self._group_terms(spec)
-        counts = self._first(spec).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
-        if spec.get("get_termfreqs"):
-            everywhere = self.source.table.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("termfreq"))
-            counts = counts.join(everywhere, "term", "left")
+        if spec.get("get_termfreqs") and spec.get("doc_limit") is None:  # one scan cuts all words once
+            guards = [t.guard for t in self.types if t.guard is not None]
+            here = self.node.match if self.doc_type is None or not guards else self.node.match & reduce(or_, guards)
+            here = here if self.types else F.lit(False)
+            seen = self.source.table.select(F.coalesce(here, F.lit(False)).alias("here"), F.explode(terms).alias("term"))
+            counts = seen.groupBy("term").agg(F.count_if("here").alias("count"), F.count("*").alias("termfreq")).where("count > 0")
+        else:
+            counts = self._first(spec).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+            if spec.get("get_termfreqs"):
+                everywhere = self.source.table.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("termfreq"))
+                counts = counts.join(everywhere, "term", "left")
         counts = counts.orderBy(F.desc("count"), F.asc("term"))
         return counts if spec.get("result_limit") is None else counts.limit(int(spec["result_limit"]))
 

@@ -36,10 +36,14 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import surface  # noqa: F401  registers its own
+
     return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import surface  # noqa: F401
+
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
 
 
@@ -630,15 +634,15 @@ def upsert_latest(spark, sf_dir):
 
 
 @_query(f"""
-WITH a AS ({_LATEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id % 2 = 0)')}),
-b AS ({_LATEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id % 3 = 0)')})
+WITH a AS ({_LATEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE value <= 230)')}),
+b AS ({_LATEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE value > 230)')})
 SELECT seq, doc_id, event_type, value FROM b
 UNION ALL SELECT seq, doc_id, event_type, value FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) AND event_type <> 'error'
 """)
 def delete_tombstone(spark, sf_dir):
     """A version with some keys replaced and some deleted."""
     commands = _commands(spark, sf_dir)
-    old, new = latest(commands.where("seq % 2 = 0")), latest(commands.where("seq % 3 = 0"))
+    old, new = latest(commands.where("value <= 230")), latest(commands.where("value > 230"))
     return upserted(old, new, old.where("event_type = 'error'").select("doc_type", "doc_id")).drop("doc_type")
 
 
@@ -823,14 +827,13 @@ def geo_stored(spark, sf_dir):
 
 @_query(f"""
 WITH w AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS w FROM benchmark), f AS (SELECT w, count(*) AS n FROM w GROUP BY 1),
-p AS (SELECT a.w AS term1, b.w AS term2, count(*) AS count FROM w a JOIN w b ON a.item_id = b.item_id AND a.w < b.w WHERE a.item_id % 2 = 0 GROUP BY 1, 2)
+p AS (SELECT a.w AS term1, b.w AS term2, count(*) AS count FROM w a JOIN w b ON a.item_id = b.item_id AND a.w < b.w GROUP BY 1, 2)
 SELECT term1, term2, count, x.n AS termfreq1, y.n AS termfreq2 FROM p JOIN f x ON x.w = term1 JOIN f y ON y.w = term2 ORDER BY count DESC, term1, term2 LIMIT 100
 """)
 def info_cooccur_termfreq(spark, sf_dir):
-    """Pairs of the items that the SQL takes, all even ones, with term frequencies over all items."""
-    fields = {"item_id": {"type": "id"}, "parity": _exact("parity"), "text": {"type": "text", "group": "t"}}
-    table = _table(spark, sf_dir, "benchmark").withColumn("parity", (F.col("item_id") % 2).cast("string"))
-    search = Search(typed(table, fields, id_column="item_id", pattern=text.ASCII_WORD), {"query": {"field": ["parity", "is", "0"]}})
+    """The most frequent pairs of words of all items, with each word's frequency."""
+    fields = {"item_id": {"type": "id"}, "text": {"type": "text", "group": "t"}}
+    search = Search(typed(_table(spark, sf_dir, "benchmark"), fields, id_column="item_id", pattern=text.ASCII_WORD), {"query": {"matchall": True}})
     return search.cooccurrences({"group": "t", "get_termfreqs": True, "result_limit": 100})
 
 
