@@ -658,7 +658,12 @@ def hash_long_term(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", normal_column(config, F.col("url")).alias("term"))
 
 
-@_query()
+@_query("""
+WITH s AS (SELECT page_id, translate(CAST(page_id AS VARCHAR), '0123456789', '零一二三四五六七八九') AS s FROM pages),
+c AS (SELECT page_id, s, unnest(range(1, length(s) + 1)) AS i FROM s),
+g AS (SELECT page_id, i, s[i] AS term FROM c UNION ALL SELECT page_id, i, s[i:i + 1] FROM c WHERE i < length(s) UNION ALL SELECT page_id, length(s) + 2, 'page' FROM s)
+SELECT page_id, term, CAST(count(*) AS INT) AS wdf, string_agg(DISTINCT CAST(i AS VARCHAR), ',' ORDER BY CAST(i AS VARCHAR)) AS positions FROM g GROUP BY 1, 2
+""")
 def cjk_tokens(spark, sf_dir):
     """Terms and positions of CJK text; each page's number in Chinese signs and its URL's host."""
     signs = F.translate(F.col("page_id").cast("string"), "0123456789", "零一二三四五六七八九")
