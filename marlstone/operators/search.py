@@ -46,7 +46,8 @@ def _whole(request: dict, name: str, default: int, least: int) -> int:
 
 
 class Search:
-    """One request over a source. Nothing runs until a result is asked for."""
+    """One request over a source. Nothing runs until a result is asked for, but for ``fromdoc``, whose place is looked
+    up at once."""
 
     def __init__(self, source: Source, request: dict, doc_type: str | None = None):
         if not isinstance(request, dict):
