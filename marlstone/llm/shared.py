@@ -157,6 +157,11 @@ def _table(seed: int) -> np.ndarray:
     return _TABLES[seed]
 
 
+def _whole(data: np.ndarray) -> type:
+    """Places in these bytes, in half the memory where they are few enough."""
+    return np.int32 if len(data) < 1 << 31 else np.int64
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes from each start up to its end; segments hold a byte or more and don't
     overlap. Tabulation: each byte and its place in a chunk stand for a random number, a chunk's sum is
@@ -176,9 +181,12 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     length = tails - heads
     upto = np.cumsum(length)
     first = upto - length
-    place = np.arange(int(upto[-1]), dtype=np.int64) - np.repeat(first, length)
-    byte = data[place + np.repeat(heads, length)]
-    sums = np.add.reduceat(_table(seed)[place * 256 + byte], first)
+    place = np.arange(int(upto[-1]), dtype=_whole(data))
+    place -= np.repeat(first.astype(place.dtype), length)
+    byte = data[place + np.repeat(heads.astype(place.dtype), length)]
+    place *= 256
+    place += byte
+    sums = np.add.reduceat(_table(seed)[place], first)
     sums = mix(sums + mix(np.asarray(nth + 1, U64).reshape(-1)))  # with and without long neighbours alike
     if heads is not starts:
         sums = np.add.reduceat(sums, np.cumsum(parts) - parts)
@@ -194,8 +202,12 @@ def distinct_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     if same and len(starts):
         other = np.flatnonzero(head != np.arange(len(starts)))
         length = size[other]
-        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        same = np.array_equal(data[place + np.repeat(starts[other], length)], data[place + np.repeat(starts[head[other]], length)])
+        place = np.arange(int(length.sum()), dtype=_whole(data))
+        place -= np.repeat((np.cumsum(length) - length).astype(place.dtype), length)
+        own, its = (np.repeat(starts[x].astype(place.dtype), length) for x in (other, head[other]))
+        own += place
+        its += place
+        same = np.array_equal(data[own], data[its])
     if not same:
         known: dict[bytes, int] = {}
         inverse = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
