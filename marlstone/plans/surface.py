@@ -451,6 +451,7 @@ def _deflated(part: pd.Series) -> pd.Series:
 @_query("SELECT page_id, md5(coalesce(html, '')) AS digest FROM pages")
 def connector_inflate(spark, sf_dir):
     """zlib data of a store's binary fields unpacked."""
+    connectors.small_batches(spark)
     packed = _table(spark, sf_dir, "pages").select("page_id", _deflated(F.coalesce("html", F.lit(""))).alias("z"))
     return packed.select("page_id", F.md5(connectors.inflated(F.col("z"))).alias("digest"))
 

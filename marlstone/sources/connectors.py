@@ -35,11 +35,32 @@ def samples(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame:
     return files.select(label.alias("label"), F.substring("value", 1, most).alias("text"))
 
 
+#: Bytes of values that a Python worker gets or gives back at a time (a single longer value goes alone).
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the bytes of the Arrow batches that Python workers get; however many rows a task has, and however long
+    they are, its workers then need the same memory. The session's setting is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 @F.pandas_udf(T.BinaryType())
 def inflated(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """zlib data unpacked."""
+    """zlib data unpacked; what a batch unpacks to is given back in pieces, since it may be far larger."""
     for part in parts:
-        yield part.map(lambda b: None if b is None else zlib.decompress(b))
+        piece, size = [], 0
+        for b in part:
+            piece.append(None if b is None else zlib.decompress(b))
+            size += len(piece[-1] or b"")
+            if size >= BATCH_BYTES:
+                yield pd.Series(piece, dtype=object)
+                piece, size = [], 0
+        if piece:
+            yield pd.Series(piece, dtype=object)
 
 
 def plain(value):
@@ -95,6 +116,7 @@ def plain_documents(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def store_export(spark: SparkSession, path: str) -> DataFrame:
     """``(body, problem)`` of a document store's JSON-lines export."""
+    small_batches(spark)
     made: Column = plain_documents(F.col("body"))
     return json_lines(spark, path).select(made.alias("d")).select("d.*")
 

@@ -1,7 +1,9 @@
 import base64
+import hashlib
 import json
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,34 @@ def test_inflated(spark):
     assert [None if r[0] is None else bytes(r[0]) for r in df.select(connectors.inflated(F.col("b"))).collect()] == [b"x" * 50, None]
 
 
+def test_what_a_batch_unpacks_to_is_given_back_in_pieces(spark):
+    values = [b"", None, *[bytes([i]) * (1 << 20) for i in range(20)], b"z"]
+    packed = pd.Series([None if v is None else zlib.compress(v) for v in values])
+    pieces = list(connectors.inflated.func(iter([packed])))
+    assert [v for p in pieces for v in p] == values
+    assert max(sum(len(v or b"") for v in p) for p in pieces) <= connectors.BATCH_BYTES + (1 << 20)
+    rows = [(i, None if v is None else bytearray(zlib.compress(v))) for i, v in enumerate(values)]
+    found = spark.createDataFrame(rows, "i int, b binary").coalesce(1).select("i", F.md5(connectors.inflated(F.col("b"))).alias("d"))
+    assert {r["i"]: r["d"] for r in found.collect()} == {i: None if v is None else hashlib.md5(v).hexdigest() for i, v in enumerate(values)}
+
+
+def test_workers_get_batches_of_bounded_bytes(spark, data):
+    from marlstone.plans import catalogue
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = F.pandas_udf(lambda part: pd.Series([len(part)] * len(part)), "int", F.PandasUDFType.SCALAR)
+    try:
+        spark.conf.set(name, str(1 << 30))
+        catalogue.queries()["connector_inflate"](spark, data)
+        most = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("x")).select(rows("x").alias("n")).agg(F.max("n")).first()[0]
+        assert most * 1000 <= connectors.BATCH_BYTES + 1000
+        spark.conf.set(name, "1000")
+        connectors.small_batches(spark)
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_upserts(spark):
     schema = "seq long, doc_type string, doc_id string, v int"
     df = spark.createDataFrame([(0, "t", "a", 1), (2, "t", "a", 3), (1, "u", "a", 2), (3, "t", None, 4), (4, "t", None, 5)], schema)
