@@ -213,18 +213,23 @@ class Collection:
         if 0 <= batch <= state["batch"]:
             return
         s = self.special
-        found = ingest.resolved(commands.select("seq", "op", "doc_type", "doc_id", "body"), "default", s["id_field"], s["type_field"]).cache()
-        self._log(ingest.problems(found.where("op = 'put'")))
-        last = latest(found.where("_problem is null").select("seq", "op", "doc_type", "doc_id", "body"))
-        rows = self.process(last.where("op = 'put'"))
-        self._log(rows.select("doc_type", "doc_id", F.explode("errors").alias("e")).select("doc_type", "doc_id", F.concat_ws(": ", "e.field", "e.message").alias("message")))
-        gone = last.where("op = 'delete'").select("doc_type", "doc_id", F.col("seq").cast("long").alias("seq"))
-        low, top = found.agg(F.min("seq"), F.max("seq")).first()
-        rows = rows.withColumn("seq", F.col("seq").cast("long")) if "seq" in rows.columns else rows
-        self.store.commit(rows, gone, batch, -1 if top is None else int(top), late=low is not None and low <= state["seq"])
+        columns = ["seq", "op", "doc_type", "doc_id", "body"]
+        found = ingest.resolved(commands.select(*columns), "default", s["id_field"], s["type_field"]).select(*columns, "_problem").cache()
+        number = lambda test: F.count_if(F.expr(test))
+        low, top, bad, deletes = found.agg(F.min("seq"), F.max("seq"), number("op = 'put' and _problem is not null"), number("op = 'delete'")).first()
+        if bad:
+            self._log(ingest.problems(found.where("op = 'put'")))
+        last = latest(found.where("_problem is null").select(*columns)).cache()
+        rows = self.process(last.where("op = 'put'")).cache()
+        if rows.agg(F.sum(F.size("errors"))).first()[0]:
+            self._log(rows.select("doc_type", "doc_id", F.explode("errors").alias("e")).select("doc_type", "doc_id", F.concat_ws(": ", "e.field", "e.message").alias("message")))
+        gone = last.where("op = 'delete'").select("doc_type", "doc_id", F.col("seq").cast("long").alias("seq")) if deletes else None
+        put = rows.withColumn("seq", F.col("seq").cast("long")) if "seq" in rows.columns else rows
+        self.store.commit(put, gone, batch, -1 if top is None else int(top), late=low is not None and low <= state["seq"])
         self.store.save_config(self.config())
         self.errors = self.checkpoints.reach(self.store.state()["seq"], self.errors)
-        found.unpersist()
+        for made in (rows, last, found):
+            made.unpersist()
 
     def _log(self, problems: DataFrame) -> None:
         """Counts all problems; the first of them come to the driver."""

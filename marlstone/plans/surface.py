@@ -479,15 +479,15 @@ def connector_query(spark, sf_dir):
 
 @_query("SELECT CAST(user_id AS VARCHAR) AS doc_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def stream_late_commands(spark, sf_dir):
-    """Commands whose files come in the wrong order, a file for each micro-batch: the last command wins all the same."""
+    """Commands whose files come in the wrong order, a third of them in each micro-batch: the last command wins all the same."""
     commands = _table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.lit("put").alias("op"), F.lit("user").alias("doc_type"), F.col("user_id").cast("string").alias("doc_id"), _json(value_num="value")
     )
     path = scratch(spark, "log")
-    log = CommandLog(spark, Collection(spark, "users", f"{path}/collection"), path, per_trigger=1)
+    log = CommandLog(spark, Collection(spark, "users", f"{path}/collection"), path)
     top = commands.agg(F.max("seq")).first()[0] or 0
     for part in (2, 0, 1):
-        log.append(commands.where((F.col("seq") > top * part // 3) & (F.col("seq") <= top * (part + 1) // 3) | ((F.col("seq") <= 0) & F.lit(part == 0))).coalesce(1))
+        log.append(commands.where((F.col("seq") > top * part // 3) & (F.col("seq") <= top * (part + 1) // 3) | ((F.col("seq") <= 0) & F.lit(part == 0))))
         log.start().awaitTermination()
     return log.collection.source().table.select("doc_id", F.element_at("f_nvalue", 1).alias("value"))
 

@@ -58,9 +58,11 @@ class CommandLog:
         again in part applies the same commands to the same end."""
         if 0 <= number <= self.collection.store.state()["batch"]:
             return
-        batch = batch.persist()
+        barriers = batch.where(~F.col("op").isin(*DOCUMENTS)).orderBy("seq").collect()
+        batch = self._spread(batch)
+        batch = batch.persist() if barriers else batch
         documents, at = batch.where(F.col("op").isin(*DOCUMENTS)), None
-        for r in batch.where(~F.col("op").isin(*DOCUMENTS)).orderBy("seq").collect():
+        for r in barriers:
             part = documents.where(F.col("seq") < r["seq"])
             part = part if at is None else part.where(F.col("seq") > at)
             if not part.isEmpty():
@@ -68,7 +70,13 @@ class CommandLog:
             self._barrier(r)
             at = r["seq"]
         self.collection.apply(documents if at is None else documents.where(F.col("seq") > at), number)
-        batch.unpersist()
+        if barriers:
+            batch.unpersist()
+
+    def _spread(self, batch: DataFrame) -> DataFrame:
+        """A batch of few large files is dealt over all cores, since parsing its commands takes far longer than reading them."""
+        least = 2 * self.spark.sparkContext.defaultParallelism
+        return batch if batch.rdd.getNumPartitions() >= least else batch.repartition(least, "seq")
 
     def _barrier(self, r) -> None:
         c, op, name, body = self.collection, r["op"], r["doc_id"], r["body"]

@@ -49,6 +49,21 @@ def test_late_commands_of_later_batches_do_not_win(spark, tmp_path):
     assert log.collection.store.state()["seq"] == 12
 
 
+def test_a_batch_of_one_file_is_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    log = _log(spark, tmp_path)
+    log.append(spark.createDataFrame([(i, "put", "t", str(i % 50), f'{{"n_num": {i}}}') for i in range(400)], SCHEMA).coalesce(1))
+    apply, parts = log.collection.apply, []
+
+    def seen(commands, number=-1):
+        parts.append(sum(n > 0 for n in commands.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()))
+        apply(commands, number)
+
+    monkeypatch.setattr(log.collection, "apply", seen)
+    log.start().awaitTermination()
+    assert len(parts) == 1 and parts[0] >= spark.sparkContext.defaultParallelism
+    assert {r["doc_id"]: r["f_nn"] for r in log.collection.source().table.collect()} == {str(k): [350.0 + k] for k in range(50)}
+
+
 def test_barriers_stand_in_the_log(spark, tmp_path):
     log = _log(spark, tmp_path)
     rows = [
